@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, simhash
+from tidemark.llm import langid, packing, simhash, winnow
 from tidemark.llm.shards import shard_by_ring
 
 
@@ -37,8 +38,19 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowed fingerprints of every document and of its edit by the next."""
+    return winnow.edit_likeness(_table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack(packing.tokenized(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_shard_ring": op1_shard_ring, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash}
+    return {"op1_shard_ring": op1_shard_ring, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_winnowing": op4_winnowing, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
