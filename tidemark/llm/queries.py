@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, packing, simhash, winnow
+from tidemark.llm import langid, neighbours, packing, simhash, winnow
 from tidemark.llm.shards import shard_by_ring
 
 
@@ -43,6 +43,11 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edit_likeness(_table(spark, sf_dir, "documents"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest by inner product of every vector with an id divisible by 20."""
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     docs = _table(spark, sf_dir, "documents")
@@ -50,7 +55,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_shard_ring": op1_shard_ring, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_winnowing": op4_winnowing, "op9_packing": op9_packing}
+    return {"op1_shard_ring": op1_shard_ring, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_winnowing": op4_winnowing, "op5_neighbours": op5_neighbours, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-GRAM = 12
-WINDOW = 24
+GRAM = 8
+WINDOW = 16
 #: Hashes in one numpy pass; their positions in it take 20 bits beside 44 of the hash.
 PASS = (1 << 20) - WINDOW
 BASE = 0x100000001B3
