@@ -19,6 +19,8 @@ from __future__ import annotations
 import random
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -34,26 +36,46 @@ GROUP_ITEMS = 4096
 ISLANDS, POPULATION, EPOCHS, GENERATIONS = 3, 4, 2, 4
 SEED = 7
 #: Words of which a task remembers the ids.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 END = b"\0\0\0\0"
 #: Python's split() breaks at these, the tokenizer doesn't.
 UNLIKE_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 class _Words(dict):
-    """Ids of a word, as bytes; the tokenizer never joins what white space parts."""
+    """Ids of a word, as bytes; the tokenizer never joins what white space parts.
+
+    A word of letters that punctuation follows has the ids of both after each
+    other, and its first letter's case is ignored: only stems are encoded.
+    """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.stems: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def stem(self, word: str) -> bytes:
+        found = self.stems.get(word)
+        if found is None:
+            if len(self.stems) >= REMEMBERED:
+                self.stems.clear()
+            found = self.stems[word] = self.ids(word)
+        return found
+
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= REMEMBERED // 2:
             self.clear()
-        found = self[word] = self.ids(word)
+        letters = word.rstrip(".,;:!?")
+        if letters.isalpha() and is_normalized("NFC", letters):
+            found = self.stem(letters[0].lower() + letters[1:])
+            if len(letters) < len(word):
+                found += self.stem(word[len(letters) :])
+        else:
+            found = self.ids(word)
+        self[word] = found
         return found
 
     def document(self, text: str) -> bytes:
@@ -62,12 +84,18 @@ class _Words(dict):
         return b"".join(map(self.__getitem__, text.split())) + END
 
 
+@lru_cache(maxsize=1)
+def _words(path: str) -> _Words:
+    """One memory of words for all tasks of a Python worker."""
+    return _Words(path)
+
+
 def tokenized(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """Pieces of every document: ``doc_id, piece, start, length, ids_crc32``."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(tokenizer)
+        words = _words(tokenizer)
         for batch in batches:
             at, out = [], []
             for k, own in enumerate(batch.column(1).to_pylist()):
@@ -224,7 +252,7 @@ def pack(pieces: DataFrame, *, length: int = LENGTH) -> DataFrame:
     state = "_group int, island int, sizes binary, people array<binary>, bins int"
     now = keep(grouped.select("_group", "length", "_row").groupBy("_group").applyInPandas(settle, state), "islands")
     for epoch in range(EPOCHS):
-        now = keep(now.repartition("_group", "island").mapInPandas(advance(epoch), state), "islands")
+        now = keep(now.repartition(-(-groups * ISLANDS // 4), "_group", "island").mapInPandas(advance(epoch), state), "islands")
         if epoch + 1 < EPOCHS:
             ring = Window.partitionBy("_group").orderBy("island")
             guest = F.coalesce(F.lag(F.element_at("people", 1)).over(ring), F.last(F.element_at("people", 1)).over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, neighbours, packing, simhash, winnow
+from tidemark.llm import langid, line_dedup, mixing, neighbours, packing, simhash, winnow
 from tidemark.llm.shards import shard_by_ring
 
 
@@ -48,6 +48,30 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the lines that stay; near-equal lines stay once in the table."""
+    found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", "n_lines", "n_kept")
+
+
+def domain(source: Column) -> Column:
+    """The domain of a source: by its number, 0 to 9 web, 10 to 14 reference, others forum."""
+    number = F.regexp_extract(source, "([0-9]{1,9})$", 1)
+    return F.when(F.coalesce(number, F.lit("")) == "", "unknown").when(number.cast("int") < 10, "web").when(number.cast("int") < 15, "reference").otherwise("forum")
+
+
+#: Target weights of siblings at each level of the tree.
+WEIGHTS = {"domain": {"web": 50, "reference": 30, "forum": 15, "unknown": 5}, "lang": {"en": 50, "de": 20, "fr": 20, "es": 10}}
+SHARE, EPOCHS, MIX_SEED = 0.8, 2, 1
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents chosen to the weights of the domain, language and source tree, for each epoch."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").withColumn("domain", domain(F.col("source")))
+    found = mixing.mix(docs, ["domain", "lang", "source"], WEIGHTS, share=SHARE, epochs=EPOCHS, seed=MIX_SEED)
+    return found.select("doc_id", "domain", "lang", "source", "tokens", "epoch")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     docs = _table(spark, sf_dir, "documents")
@@ -55,7 +79,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_shard_ring": op1_shard_ring, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_winnowing": op4_winnowing, "op5_neighbours": op5_neighbours, "op9_packing": op9_packing}
+    return {"op1_shard_ring": op1_shard_ring, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_winnowing": op4_winnowing, "op5_neighbours": op5_neighbours, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
