@@ -36,7 +36,7 @@ GROUP_ITEMS = 4096
 ISLANDS, POPULATION, EPOCHS, GENERATIONS = 3, 4, 2, 4
 SEED = 7
 #: Words of which a task remembers the ids.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 END = b"\0\0\0\0"
 #: Python's split() breaks at these, the tokenizer doesn't.
 UNLIKE_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
