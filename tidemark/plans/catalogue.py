@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -39,8 +39,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-W = ind.series("symbol")
-CLOSE = F.col("close")
+def by_time() -> WindowSpec:
+    return ind.series("symbol")
+
+
+def close() -> Column:
+    return F.col("close")
 
 
 def _ohlcv_sql(unit: str) -> str:
@@ -65,48 +69,48 @@ def _vwap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sma_20", "SELECT symbol, time, round(avg(close) OVER w, 4) AS sma_20, round(stddev_samp(close) OVER w, 4) AS stddev_20 FROM [daily] WINDOW w AS (PARTITION BY symbol ORDER BY time ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
 def _sma_20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars_daily(spark, sf_dir).select("symbol", "time", F.round(ind.sma_partial(CLOSE, W, 20), 4).alias("sma_20"), F.round(ind.stddev_partial(CLOSE, W, 20), 4).alias("stddev_20"))
+    return bars_daily(spark, sf_dir).select("symbol", "time", F.round(ind.sma_partial(close(), by_time(), 20), 4).alias("sma_20"), F.round(ind.stddev_partial(close(), by_time(), 20), 4).alias("stddev_20"))
 
 
 @query("bollinger", "SELECT symbol, time, round(m + 2 * s, 4) AS bb_upper, round(m - 2 * s, 4) AS bb_lower FROM (SELECT symbol, time, avg(close) OVER w AS m, stddev_samp(close) OVER w AS s FROM [daily] WINDOW w AS (PARTITION BY symbol ORDER BY time ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) x")
 def _bollinger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, s = ind.sma_partial(CLOSE, W, 20), ind.stddev_partial(CLOSE, W, 20)
+    m, s = ind.sma_partial(close(), by_time(), 20), ind.stddev_partial(close(), by_time(), 20)
     return bars_daily(spark, sf_dir).select("symbol", "time", F.round(m + 2 * s, 4).alias("bb_upper"), F.round(m - 2 * s, 4).alias("bb_lower"))
 
 
 @query("volatility_20d", "SELECT symbol, time, round(stddev_samp(r) OVER (PARTITION BY symbol ORDER BY time ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) * sqrt(252), 6) AS volatility FROM (SELECT symbol, time, CASE WHEN close > 0 AND p > 0 THEN ln(close / p) END AS r FROM (SELECT symbol, time, close, lag(close) OVER (PARTITION BY symbol ORDER BY time) AS p FROM [daily]) x) y")
 def _volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = bars_daily(spark, sf_dir).select("symbol", "time", ind.log_return(CLOSE, W).alias("r"))
-    return r.select("symbol", "time", F.round(ind.stddev_partial(F.col("r"), W, 20) * ind.ANNUAL, 6).alias("volatility"))
+    r = bars_daily(spark, sf_dir).select("symbol", "time", ind.log_return(close(), by_time()).alias("r"))
+    return r.select("symbol", "time", F.round(ind.stddev_partial(F.col("r"), by_time(), 20) * ind.ANNUAL, 6).alias("volatility"))
 
 
 @query("sma_strict", "SELECT symbol, time, CASE WHEN count(close) OVER w = 20 THEN round(avg(close) OVER w, 4) END AS sma_20 FROM [daily] WINDOW w AS (PARTITION BY symbol ORDER BY time ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
 def _sma_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars_daily(spark, sf_dir).select("symbol", "time", F.round(ind.sma(CLOSE, W, 20), 4).alias("sma_20"))
+    return bars_daily(spark, sf_dir).select("symbol", "time", F.round(ind.sma(close(), by_time(), 20), 4).alias("sma_20"))
 
 
 @query("atr_14", "SELECT symbol, time, CASE WHEN count(tr) OVER w = 14 THEN round(avg(tr) OVER w, 4) END AS atr_14 FROM (SELECT symbol, time, greatest(high - low, abs(high - p), abs(low - p)) AS tr FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY time) AS p FROM [daily]) a) b WINDOW w AS (PARTITION BY symbol ORDER BY time ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)")
 def _atr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tr = bars_daily(spark, sf_dir).select("symbol", "time", ind.true_range(F.col("high"), F.col("low"), CLOSE, W).alias("tr"))
-    return tr.select("symbol", "time", F.round(ind.sma(F.col("tr"), W, 14), 4).alias("atr_14"))
+    tr = bars_daily(spark, sf_dir).select("symbol", "time", ind.true_range(F.col("high"), F.col("low"), close(), by_time()).alias("tr"))
+    return tr.select("symbol", "time", F.round(ind.sma(F.col("tr"), by_time(), 14), 4).alias("atr_14"))
 
 
 AVERAGES = "(SELECT symbol, time, CASE WHEN count(close) OVER f = 20 THEN avg(close) OVER f END AS fast, CASE WHEN count(close) OVER s = 50 THEN avg(close) OVER s END AS slow FROM [daily] WINDOW f AS (PARTITION BY symbol ORDER BY time ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), s AS (PARTITION BY symbol ORDER BY time ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))"
 
 
 def _averages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars_daily(spark, sf_dir).select("symbol", "time", ind.sma(CLOSE, W, 20).alias("fast"), ind.sma(CLOSE, W, 50).alias("slow"))
+    return bars_daily(spark, sf_dir).select("symbol", "time", ind.sma(close(), by_time(), 20).alias("fast"), ind.sma(close(), by_time(), 50).alias("slow"))
 
 
 @query("sma_crossover", f"SELECT symbol, time, coalesce(fast > slow AND pf <= ps, false) AS entry, coalesce(fast < slow AND pf >= ps, false) AS exit FROM (SELECT *, lag(fast) OVER (PARTITION BY symbol ORDER BY time) AS pf, lag(slow) OVER (PARTITION BY symbol ORDER BY time) AS ps FROM {AVERAGES} a) b")
 def _crossover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entry, leave = ind.crossings(F.col("fast"), F.col("slow"), W)
+    entry, leave = ind.crossings(F.col("fast"), F.col("slow"), by_time())
     return _averages(spark, sf_dir).select("symbol", "time", entry.alias("entry"), leave.alias("exit"))
 
 
 @query("sma_crossover_compat", f"SELECT symbol, time, above AND NOT was AND fast IS NOT NULL AND slow IS NOT NULL AS entry, NOT above AND was AND fast IS NOT NULL AND slow IS NOT NULL AS exit FROM (SELECT *, coalesce(lag(above) OVER (PARTITION BY symbol ORDER BY time), false) AS was FROM (SELECT *, coalesce(fast > slow, false) AS above FROM {AVERAGES} a) b) c")
 def _crossover_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entry, leave = ind.crossings(F.col("fast"), F.col("slow"), W, mode="compat")
+    entry, leave = ind.crossings(F.col("fast"), F.col("slow"), by_time(), mode="compat")
     return _averages(spark, sf_dir).select("symbol", "time", entry.alias("entry"), leave.alias("exit"))
 
 
@@ -117,7 +121,7 @@ def _position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("drawdown", "SELECT symbol, time, round((close - peak) / peak, 9) AS drawdown FROM (SELECT symbol, time, close, max(close) OVER (PARTITION BY symbol ORDER BY time ROWS UNBOUNDED PRECEDING) AS peak FROM [daily]) x")
 def _drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars_daily(spark, sf_dir).select("symbol", "time", F.round(ind.drawdown(CLOSE, W), 9).alias("drawdown"))
+    return bars_daily(spark, sf_dir).select("symbol", "time", F.round(ind.drawdown(close(), by_time()), 9).alias("drawdown"))
 
 
 RETURNS = "(SELECT symbol, time, close, close / lag(close) OVER (PARTITION BY symbol ORDER BY time) - 1 AS r FROM [daily])"
@@ -125,14 +129,14 @@ RETURNS = "(SELECT symbol, time, close, close / lag(close) OVER (PARTITION BY sy
 
 @query("returns", f"SELECT symbol, time, round(r, 9) AS r FROM {RETURNS} x WHERE r IS NOT NULL")
 def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = bars_daily(spark, sf_dir).select("symbol", "time", F.round(ind.period_return(CLOSE, W), 9).alias("r"))
+    r = bars_daily(spark, sf_dir).select("symbol", "time", F.round(ind.period_return(close(), by_time()), 9).alias("r"))
     return r.where("r is not null")
 
 
 @query("cum_return", f"SELECT symbol, time, round(exp(sum(ln(1 + r)) OVER (PARTITION BY symbol ORDER BY time ROWS UNBOUNDED PRECEDING)), 6) AS growth FROM {RETURNS} x WHERE r IS NOT NULL")
 def _cum_return(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = bars_daily(spark, sf_dir).select("symbol", "time", ind.period_return(CLOSE, W).alias("r")).where("r is not null")
-    return r.select("symbol", "time", F.round(F.product(1 + F.col("r")).over(W.rowsBetween(Window.unboundedPreceding, 0)), 6).alias("growth"))
+    r = bars_daily(spark, sf_dir).select("symbol", "time", ind.period_return(close(), by_time()).alias("r")).where("r is not null")
+    return r.select("symbol", "time", F.round(F.product(1 + F.col("r")).over(by_time().rowsBetween(Window.unboundedPreceding, 0)), 6).alias("growth"))
 
 
 @query("clip_to_membership", "SELECT user_id AS symbol_id, ts AS time, value FROM (SELECT e.*, CAST(ts AS DATE) AS day FROM {events} e) e WHERE EXISTS (SELECT 1 FROM [members] m WHERE m.symbol_id = e.user_id AND m.entry_date <= e.day AND (m.exit_date IS NULL OR m.exit_date > e.day))")
@@ -207,7 +211,7 @@ def _profit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cagr", "SELECT symbol, round(pow(max_by(close, time) / min_by(close, time), 365.25 / date_diff('day', CAST(min(time) AS DATE), CAST(max(time) AS DATE))) - 1, 9) AS cagr FROM [daily] GROUP BY symbol")
 def _cagr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars_daily(spark, sf_dir).groupBy("symbol").agg(F.round(metrics.cagr(CLOSE, F.col("time")), 9).alias("cagr"))
+    return bars_daily(spark, sf_dir).groupBy("symbol").agg(F.round(metrics.cagr(close(), F.col("time")), 9).alias("cagr"))
 
 
 @query("max_drawdown", "SELECT symbol, round(max((peak - close) / peak), 9) AS max_drawdown FROM (SELECT symbol, close, max(close) OVER (PARTITION BY symbol ORDER BY time ROWS UNBOUNDED PRECEDING) AS peak FROM [daily]) x GROUP BY symbol")
