@@ -9,8 +9,9 @@ that the unknown class keeps a stated share of its own. A prediction is then
 confirmed by comparing the paragraph with the templates of that family: the
 share of a template's words that it holds in order of bigrams.
 
-A paragraph that holds none of the words without which no template can be
-confirmed is unknown at once; that saves work and changes no result.
+A template is confirmed by a share of its bigrams, so a paragraph without any of
+some of its words (``anchors``) can't reach that share; paragraphs without an
+anchor of any template are unknown at once, which changes no result.
 
 Defined results: a null text has no paragraphs; blank paragraphs are skipped;
 a paragraph of two families gets the one of higher probability; equal lines in
@@ -20,6 +21,7 @@ one document are reported each. Paragraphs are lines.
 from __future__ import annotations
 
 import random
+import re
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -46,12 +48,34 @@ TEMPLATES = {
 UNKNOWN = "unknown"
 #: Notices that name no known licence.
 OTHERS = ["all rights reserved no part of this work may be reproduced", "see the license for details", "licensed to you under our terms of service", "a license fee applies to every commercial use", "this software is licensed not sold", "copyright by the authors", "driving license office opening hours", "the general public is free to visit under these terms"]
-#: Each template's confirmation needs one of these words.
-ANCHOR = "(?i)licen|redistribut|hereby granted|cc0|waived all"
+#: Words that are frequent in prose; anchors are taken from others first.
+FREQUENT = set("the of and to in is that for with this was on are by from as it be or an at not have which under work other following without person these terms after public".split())
 FEATURES = 1 << 14
 SEED, EXAMPLES, UNKNOWN_KEPT, CONFIRMED = 5, 40, 0.99, 0.7
 
 
+def bigrams(template: str) -> set[str]:
+    own = template.split()
+    return {f"{a} {b}" for a, b in zip(own, own[1:])}
+
+
+def anchors(template: str) -> set[str]:
+    """Words without all of which fewer than CONFIRMED of the template's bigrams are left; long and rare ones first."""
+    left, whole, taken = bigrams(template), len(bigrams(template)), set()
+    for word in sorted(set(template.split()), key=lambda w: (w in FREQUENT, -len(w), w)):
+        if len(left) < CONFIRMED * whole:
+            break
+        taken.add(word)
+        left = {pair for pair in left if word not in pair.split()}
+    return taken
+
+
+def anchor_pattern() -> str:
+    """Matches a lower-cased paragraph that holds an anchor of any template."""
+    found = {word for texts in TEMPLATES.values() for text in texts for word in anchors(text)}
+    return "|".join(re.escape(word) for word in sorted(found))
+
+
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits; a dot stays inside a number."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]+[0-9]*|[0-9]+(?:\.[0-9]+)*"), F.lit(0))
@@ -110,8 +134,7 @@ def _confirmation(family: Column, found: Column) -> Column:
     for name, texts in TEMPLATES.items():
         parts = []
         for text in texts:
-            own = text.split()
-            pairs = sorted({f"{a} {b}" for a, b in zip(own, own[1:])})
+            pairs = sorted(bigrams(text))
             parts.append(F.size(F.array_intersect(found, F.array(*[F.lit(p) for p in pairs]))) / F.lit(float(len(pairs))))
         share = F.when(family == name, reduce(F.greatest, parts)).otherwise(share)
     return share
@@ -121,7 +144,7 @@ def scan(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """Every paragraph that a licence family is confirmed for: ``doc_id, paragraph, licence, probability, confirmation``."""
     model, families, least = train(df.sparkSession)
     lines = df.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("paragraph", "line"))
-    some = lines.where(F.col("line").rlike(ANCHOR)).withColumn("words", words(F.col("line")))
+    some = lines.where(F.lower("line").rlike(anchor_pattern())).withColumn("words", words(F.col("line")))
     scored = model.transform(_vectors(some)).withColumn("odds", vector_to_array(F.col("probability")))
     names = F.array(*[F.lit(f) for f in families])
     best = scored.withColumn("probability", F.array_max(F.slice("odds", 1, len(families) - 1)))

@@ -92,5 +92,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_shard_ring": op1_shard_ring, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_winnowing": op4_winnowing, "op5_neighbours": op5_neighbours, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op8_main_text": op8_main_text, "op9_packing": op9_packing, "op10_licences": op10_licences}
 
 
+def _filled(table: str, parent: str, name: str) -> str:
+    """SQL that gives each parent's budget to its children by weight, up to their cap."""
+    ranked = f"PARTITION BY {parent} ORDER BY cap / weight, {name} NULLS FIRST"
+    sums = f"SELECT *, coalesce(sum(cap) OVER ({ranked} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER ({ranked} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS onward FROM {table} WHERE weight > 0"
+    marks = f"SELECT *, cap * onward <= weight * (budget - before) AS filled FROM ({sums}) s"
+    return f"SELECT *, CASE WHEN filled THEN cap ELSE weight * (budget - coalesce(sum(CASE WHEN filled THEN cap END) OVER (PARTITION BY {parent}), 0)) / sum(CASE WHEN NOT filled THEN weight END) OVER (PARTITION BY {parent}) END AS given FROM ({marks}) m"
+
+
+def _weights(name: str) -> str:
+    cases = " ".join(f"WHEN '{value}' THEN {weight}" for value, weight in WEIGHTS[name].items())
+    return f"CAST(CASE {name} {cases} ELSE 1 END AS DOUBLE)"
+
+
+MIXING_SQL = f"""
+WITH docs AS (
+  SELECT *, CASE WHEN number = '' THEN 'unknown' WHEN CAST(nullif(number, '') AS INTEGER) < 10 THEN 'web' WHEN CAST(nullif(number, '') AS INTEGER) < 15 THEN 'reference' ELSE 'forum' END AS domain
+  FROM (SELECT doc_id, lang, source, coalesce(regexp_extract(source, '([0-9]{{1,9}})$', 1), '') AS number, CAST(coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')), 0) AS BIGINT) AS tokens FROM documents) d),
+leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS have, CAST(sum(tokens) AS DOUBLE) * {EPOCHS} AS cap FROM docs GROUP BY domain, lang, source),
+tops AS (SELECT domain, sum(cap) AS cap, (SELECT CAST(sum(have) AS DOUBLE) * {SHARE} FROM leaves) AS budget, {_weights("domain")} AS weight FROM leaves GROUP BY domain),
+top AS ({_filled("tops", "1", "domain")}),
+mids AS (SELECT l.domain, l.lang, sum(l.cap) AS cap, max(t.given) AS budget, {_weights("lang").replace("CASE lang", "CASE l.lang")} AS weight FROM leaves l JOIN top t ON l.domain = t.domain GROUP BY l.domain, l.lang),
+mid AS ({_filled("mids", "domain", "lang")}),
+lows AS (SELECT l.*, m.given AS budget, CAST(1 AS DOUBLE) AS weight FROM leaves l JOIN mid m ON l.domain = m.domain AND l.lang IS NOT DISTINCT FROM m.lang),
+low AS ({_filled("lows", "domain, lang", "source")}),
+plan AS (SELECT *, given - "full" * have AS rest FROM (SELECT domain, lang, source, have, given, CAST(least(CASE WHEN have > 0 THEN floor(given / have) ELSE 0 END, {EPOCHS}) AS INTEGER) AS "full" FROM low) p),
+placed AS (SELECT d.*, p."full", p.rest, md5('{MIX_SEED}/' || p."full" || '/' || coalesce(CAST(d.doc_id AS VARCHAR), '')) AS place FROM docs d JOIN plan p ON d.domain = p.domain AND d.lang IS NOT DISTINCT FROM p.lang AND d.source IS NOT DISTINCT FROM p.source),
+summed AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place RANGE UNBOUNDED PRECEDING) AS upto FROM placed),
+chosen AS (SELECT *, "full" + CASE WHEN "full" < {EPOCHS} AND upto <= rest THEN 1 ELSE 0 END AS times FROM summed)
+SELECT doc_id, domain, lang, source, tokens, CAST(epoch AS INTEGER) AS epoch FROM (SELECT *, unnest(range(times)) AS epoch FROM chosen) c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL can't express the other operators; they are tested against brute force."""
+    return {"op7_mixing": MIXING_SQL}
