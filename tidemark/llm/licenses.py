@@ -21,7 +21,6 @@ one document are reported each. Paragraphs are lines.
 from __future__ import annotations
 
 import random
-import re
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -70,10 +69,11 @@ def anchors(template: str) -> set[str]:
     return taken
 
 
-def anchor_pattern() -> str:
-    """Matches a lower-cased paragraph that holds an anchor of any template."""
+def has_anchor(text: Column) -> Column:
+    """Whether a text holds an anchor of any template; the text is lower-cased once."""
     found = {word for texts in TEMPLATES.values() for text in texts for word in anchors(text)}
-    return "|".join(re.escape(word) for word in sorted(found))
+    held = lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(word)) for word in sorted(found)])
+    return F.get(F.transform(F.array(F.lower(text)), held), 0)
 
 
 def words(text: Column) -> Column:
@@ -143,8 +143,8 @@ def _confirmation(family: Column, found: Column) -> Column:
 def scan(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every paragraph that a licence family is confirmed for: ``doc_id, paragraph, licence, probability, confirmation``."""
     model, families, least = train(df.sparkSession)
-    lines = df.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("paragraph", "line"))
-    some = lines.where(F.lower("line").rlike(anchor_pattern())).withColumn("words", words(F.col("line")))
+    lines = df.where(has_anchor(F.col(text))).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("paragraph", "line"))
+    some = lines.where(has_anchor(F.col("line"))).withColumn("words", words(F.col("line")))
     scored = model.transform(_vectors(some)).withColumn("odds", vector_to_array(F.col("probability")))
     names = F.array(*[F.lit(f) for f in families])
     best = scored.withColumn("probability", F.array_max(F.slice("odds", 1, len(families) - 1)))
