@@ -1,3 +1,5 @@
+import textwrap
+
 from tidemark.llm import licenses
 
 
@@ -30,3 +32,32 @@ def test_edges(edge, nothing):
     rows = licenses.licences(edge).collect()
     assert len(rows) == edge.select("doc_id").distinct().count() and all(r["licences"] == [] for r in rows)
     assert licenses.licences(nothing).count() == 0
+
+
+def test_wrapped_dual_and_in_line_notices(spark):
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
+    gpl = licenses.TEMPLATES["gpl-3.0"][1]
+    agpl = gpl.replace("gnu general", "gnu affero general")
+    prose = " ".join(["the boats left that harbour before dawn and came home after work"] * 60)
+    wrap = lambda text: "\n".join(textwrap.wrap(text, 40))
+    cases = [
+        (wrap(mit), ["mit"]),
+        ("A title\n\n" + wrap(apache), ["apache-2.0"]),
+        (wrap(gpl), ["gpl-3.0"]),
+        (wrap(agpl), ["agpl-3.0"]),
+        ("dual licensed under the MIT license or the Apache License, Version 2.0", ["apache-2.0", "mit"]),
+        (f"{prose} {mit} {prose} {apache} {prose}", ["apache-2.0", "mit"]),
+        ("licensed under CC BY SA 4.0", ["cc-by-sa"]),
+        ("permission is hereby granted free of charge to any person\n\nobtaining a copy of this software and associated documentation files", []),
+    ]
+    docs = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(cases)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in licenses.licences(docs).collect()}
+    assert {k: rows[k]["licences"] for k in rows} == {k: want for k, (_, want) in enumerate(cases)}
+    assert rows[0]["paragraphs"] == [0] and rows[1]["paragraphs"][0] == 2
+
+
+def test_equal_notices_are_reported_each(spark):
+    text = licenses.TEMPLATES["mit"][2]
+    docs = spark.createDataFrame([(1, f"{text}\n{text}\n\n{text}")], "doc_id long, text string")
+    assert licenses.licences(docs).first()["paragraphs"] == [0, 1, 3]

@@ -1,21 +1,32 @@
-"""License scans: a trained paragraph classifier that templates confirm, in DataFrame operations only.
+"""License scans: a trained classifier that templates confirm, in DataFrame operations only.
 
-A paragraph's word n-grams (one to three words) are hashed to a sparse vector
+Neighbouring lines that aren't blank are a paragraph. A paragraph that holds
+enough of a template's bigrams is cut into overlapping windows, from each word
+on, as long as the template and as long as the longest example made of it, so
+notices may be wrapped, follow each other or lie within long text.
+
+A window's word n-grams (one to three words) are hashed to a sparse vector
 and a multinomial logistic regression names a licence family or ``unknown``.
 It is trained on notices made here from a few templates for each family and
 from prose and notices that name no known licence, with seeded changes; a
 held-out part of these sets the least probability at which a family counts, so
-that the unknown class keeps a stated share of its own. A prediction is then
-confirmed by comparing the paragraph with the templates of that family: the
-share of a template's words that it holds in order of bigrams.
+that the unknown class keeps a stated share of its own. Each family's
+probability is taken against that of ``unknown`` alone, so that several can
+count in one window. A family is then confirmed by comparing the window with its
+templates: the share of a template's words that it holds in order of bigrams.
+A template that lacks a bigram where the window has that of a kindred family
+(``rivals``: "gnu general" where "gnu affero" stands) isn't confirmed, nor is
+one of which all bigrams found belong to a better one of another family there.
 
 A template is confirmed by a share of its bigrams, so a paragraph without any of
 some of its words (``anchors``) can't reach that share; paragraphs without an
 anchor of any template are unknown at once, which changes no result.
 
 Defined results: a null text has no paragraphs; blank paragraphs are skipped;
-a paragraph of two families gets the one of higher probability; equal lines in
-one document are reported each. Paragraphs are lines.
+a paragraph of several families gets each; of overlapping windows of a family
+the one of highest confirmation, then the shortest and first, is reported, so
+equal lines in one document are reported each. ``paragraph`` is the number of
+the line that holds the first word of the window.
 """
 
 from __future__ import annotations
@@ -51,6 +62,8 @@ OTHERS = ["all rights reserved no part of this work may be reproduced", "see the
 FREQUENT = set("the of and to in is that for with this was on are by from as it be or an at not have which under work other following without person these terms after public".split())
 FEATURES = 1 << 14
 SEED, EXAMPLES, UNKNOWN_KEPT, CONFIRMED = 5, 40, 0.99, 0.7
+#: The most words around a template in an example.
+AROUND = 18
 
 
 def bigrams(template: str) -> set[str]:
@@ -69,6 +82,16 @@ def anchors(template: str) -> set[str]:
     return taken
 
 
+def rivals(family: str, template: str) -> list[tuple[str, str]]:
+    """Pairs of a bigram of the template and another with the same first word in a template of another family that shares half of either."""
+    own, found = bigrams(template), set()
+    for name, texts in TEMPLATES.items():
+        for other in map(bigrams, texts):
+            if name != family and 2 * len(own & other) >= min(len(own), len(other)):
+                found |= {(a, b) for a in own for b in other - own if a.split()[0] == b.split()[0]}
+    return sorted(found)
+
+
 def has_anchor(text: Column) -> Column:
     """Whether a text holds an anchor of any template; the text is lower-cased once."""
     found = {word for texts in TEMPLATES.values() for text in texts for word in anchors(text)}
@@ -116,41 +139,77 @@ def examples() -> list[tuple[str, str, bool]]:
 
 
 def train(spark: SparkSession) -> tuple[LogisticRegressionModel, list[str], float]:
-    """The model, its families by index, and the least probability at which a family counts."""
+    """The model, its families by index, and the least probability, against unknown alone, at which a family counts."""
     families = [*sorted(TEMPLATES), UNKNOWN]
     rows = spark.createDataFrame([(t, families.index(f), c) for t, f, c in examples()], "text string, label int, calibrate boolean").coalesce(1)
     rows = _vectors(rows.withColumn("words", words(F.col("text")))).select("features", "label", "calibrate").cache()
     model = LogisticRegression(maxIter=40, regParam=1e-3, family="multinomial").fit(rows.where("not calibrate").withColumn("label", F.col("label").cast("double")))
     odds = vector_to_array(F.col("probability"))
-    top = model.transform(rows.where("calibrate")).where(F.col("label") == len(families) - 1).select(F.array_max(F.slice(odds, 1, len(families) - 1)).alias("p"))
+    known, unknown = F.array_max(F.slice(odds, 1, len(families) - 1)), F.get(odds, len(families) - 1)
+    top = model.transform(rows.where("calibrate")).where(F.col("label") == len(families) - 1).select((known / (known + unknown)).alias("p"))
     least = top.agg(F.percentile("p", F.lit(UNKNOWN_KEPT))).first()[0]
     rows.unpersist()
     return model, families, max(0.5, float(least))
 
 
-def _confirmation(family: Column, found: Column) -> Column:
-    """The largest share of bigrams of one of the family's templates that the paragraph's ``found`` hold."""
-    share = F.lit(0.0)
-    for name, texts in TEMPLATES.items():
-        parts = []
+def _templates() -> Column:
+    """All templates with their words' number, bigrams and rivals."""
+    made = []
+    for family, texts in TEMPLATES.items():
         for text in texts:
-            pairs = sorted(bigrams(text))
-            parts.append(F.size(F.array_intersect(found, F.array(*[F.lit(p) for p in pairs]))) / F.lit(float(len(pairs))))
-        share = F.when(family == name, reduce(F.greatest, parts)).otherwise(share)
-    return share
+            pairs = F.array(*[F.lit(p) for p in sorted(bigrams(text))])
+            others = F.array(*[F.struct(F.lit(a).alias("own"), F.lit(b).alias("other")) for a, b in rivals(family, text)]).cast("array<struct<own:string,other:string>>")
+            made.append(F.struct(F.lit(family).alias("family"), F.lit(len(text.split())).alias("length"), pairs.alias("pairs"), others.alias("rivals")))
+    return F.array(*made)
+
+
+def _paragraphs(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, p, words, at``: the words of each paragraph with an anchor, and the number of each word's line."""
+    lines = df.where(has_anchor(F.col(text))).select(F.col(doc_id).alias("doc_id"), F.split(text, "\n", -1).alias("lines"))
+    full = lines.withColumn("full", F.transform("lines", lambda line: line.rlike(r"\S")))
+    at = lambda k: F.coalesce(F.get("full", k), F.lit(False))
+    numbers = F.sequence(F.lit(0), F.size("lines") - 1)
+    bounds = full.withColumn("first", F.filter(numbers, lambda k: at(k) & ~at(k - 1))).withColumn("last", F.filter(numbers, lambda k: at(k) & ~at(k + 1)))
+    own = F.transform(F.arrays_zip("first", "last"), lambda z: F.struct(z["first"].alias("first"), F.slice("lines", z["first"] + 1, z["last"] - z["first"] + 1).alias("own")))
+    parts = bounds.select("doc_id", F.inline(own)).where(has_anchor(F.array_join("own", "\n")))
+    told = parts.select("doc_id", "first", F.transform("own", words).alias("each"))
+    places = F.flatten(F.transform("each", lambda w, k: F.array_repeat(F.col("first") + k, F.size(w))))
+    return told.select("doc_id", F.monotonically_increasing_id().alias("p"), F.flatten("each").alias("words"), places.alias("at"))
+
+
+def _windows(paragraphs: DataFrame) -> DataFrame:
+    """Windows that hold enough of a template, each from a bigram of it to the last one found."""
+    every = F.array(*[F.lit(b) for b in sorted(set().union(*[bigrams(t) for texts in TEMPLATES.values() for t in texts]))])
+    share = lambda pairs, t: F.size(F.array_intersect(pairs, t["pairs"])) / F.size(t["pairs"])
+    held = paragraphs.withColumn("held", F.array_intersect(grams(F.col("words"), 2), every))
+    some = held.select("doc_id", "p", "words", "at", F.explode(F.filter(_templates(), lambda t: share(F.col("held"), t) >= CONFIRMED)).alias("t"))
+    begins = F.filter(F.sequence(F.lit(0), F.size("words") - 2), lambda k: F.array_contains(F.col("t.pairs"), F.concat_ws(" ", F.get("words", k), F.get("words", k + 1))))
+    placed = some.select("doc_id", "p", "words", "at", "t", F.explode(begins).alias("start"))
+    sized = placed.withColumn("length", F.explode(F.array(F.col("t.length"), 2 * F.col("t.length") + AROUND)))
+    cut = sized.select("doc_id", "p", "t", "start", F.get("at", F.col("start")).alias("paragraph"), F.slice("words", F.col("start") + 1, F.col("length")).alias("words"))
+    found = cut.withColumn("pairs", grams(F.col("words"), 2)).withColumn("hits", F.array_intersect("pairs", "t.pairs"))
+    sure = found.withColumn("confirmation", F.size("hits") / F.size("t.pairs")).where(F.col("confirmation") >= CONFIRMED)
+    other = F.exists("t.rivals", lambda r: F.array_contains("pairs", r["other"]) & ~F.array_contains("hits", r["own"]))
+    size = F.array_max(F.transform("hits", lambda h: F.array_position("pairs", h))).cast("int") + 1
+    ended = sure.where(~other).withColumn("size", size)
+    return ended.select("doc_id", "p", "start", "size", "paragraph", "words", "hits", "confirmation", F.col("t.family").alias("licence"))
 
 
 def scan(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every paragraph that a licence family is confirmed for: ``doc_id, paragraph, licence, probability, confirmation``."""
+    """Every notice that a licence family is confirmed for: ``doc_id, paragraph, licence, probability, confirmation``."""
     model, families, least = train(df.sparkSession)
-    lines = df.where(has_anchor(F.col(text))).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n", -1)).alias("paragraph", "line"))
-    some = lines.where(has_anchor(F.col("line"))).withColumn("words", words(F.col("line")))
-    scored = model.transform(_vectors(some)).withColumn("odds", vector_to_array(F.col("probability")))
+    scored = model.transform(_vectors(_windows(_paragraphs(df, doc_id, text)))).withColumn("odds", vector_to_array(F.col("probability")))
     names = F.array(*[F.lit(f) for f in families])
-    best = scored.withColumn("probability", F.array_max(F.slice("odds", 1, len(families) - 1)))
-    named = best.withColumn("licence", F.get(names, F.array_position("odds", F.col("probability")).cast("int") - 1))
-    sure = named.where(F.col("probability") >= least).withColumn("confirmation", _confirmation(F.col("licence"), grams(F.col("words"), 2)))
-    return sure.where(F.col("confirmation") >= CONFIRMED).select("doc_id", "paragraph", "licence", "probability", "confirmation")
+    own = F.get("odds", F.array_position(names, F.col("licence")).cast("int") - 1)
+    likely = scored.withColumn("probability", own / (own + F.get("odds", F.lit(len(families) - 1)))).where(F.col("probability") >= least)
+    window = F.struct((-F.col("confirmation")).alias("order"), "size", "start", "licence", "paragraph", "probability", "confirmation", "hits")
+    listed = likely.groupBy("doc_id", "p").agg(F.sort_array(F.collect_set(window)).alias("w"))
+    meet = lambda x, y: (x["start"] < y["start"] + y["size"]) & (y["start"] < x["start"] + x["size"])
+    part = lambda x, y: (x["licence"] != y["licence"]) & (x["confirmation"] < y["confirmation"]) & meet(x, y) & (F.size(F.array_except(x["hits"], y["hits"])) == 0)
+    own_ones = listed.withColumn("w", F.filter("w", lambda x: ~F.exists("w", lambda y: part(x, y))))
+    same = lambda x, y: (x["licence"] == y["licence"]) & (meet(x, y) | (x["paragraph"] == y["paragraph"]))
+    taken = F.aggregate("w", F.slice("w", 1, 0), lambda kept, x: F.when(F.exists(kept, lambda y: same(x, y)), kept).otherwise(F.concat(kept, F.array(x))))
+    return own_ones.select("doc_id", F.inline(taken)).select("doc_id", "paragraph", "licence", "probability", "confirmation")
 
 
 def licences(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
