@@ -53,3 +53,24 @@ def test_query_and_edges(spark, sf):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted((r["page_id"] or 0, r["n_chars"] > 0) for r in got.collect()) == [(0, True), (1, False), (1, False)]
     assert main_text.extract(pages.where("1 = 0")).count() == 0
+
+
+def test_elements_without_text_end_where_browsers_end_them():
+    body = f"<body>{NAV}{ARTICLE}{FOOT}</body>"
+    whole = f"<html><head><title>T</title></head>{body}</html>"
+    assert texts([whole]) == [WANTED]
+    pages = [
+        f"<html><head><title>T</title><meta charset=x><script>var a = '<p>';</script>{body}</html>",
+        f"<html><head><title>T</title>{NAV}{ARTICLE}{FOOT}</html>",
+        f"<head><noscript><img src=x></noscript>{body}",
+        f'<body><svg viewBox="0 0 1 1"/>{NAV}{ARTICLE}{FOOT}</body>',
+        f"<body>{NAV}<svg/>{ARTICLE}<svg><path d=x /></svg>{FOOT}</body>",
+        f"<body>{NAV}<svg><g><path d=x>{ARTICLE}{FOOT}</body>",
+        f"<body>{NAV}<svg><title/><text>no</text></svg>{ARTICLE}{FOOT}</body>",
+        f"<body>{NAV}<div><noscript>no</div>{ARTICLE}{FOOT}</body>",
+        f"<body>{NAV}<div><iframe src=x></div>{ARTICLE}{FOOT}</body>",
+        f"<body>{NAV}<div><template><p>no</div>{ARTICLE}{FOOT}</body>",
+        f"<body>{NAV}<noscript><p>no</p></noscript><iframe>no</iframe><template><a>no</template>{ARTICLE}{FOOT}</body>",
+    ]
+    assert [(k, t) for k, t in enumerate(texts(pages)) if t != WANTED] == []
+    assert [n.tag for n in main_text.parse(whole)] == [n.tag for n in main_text.parse(f"<html>{body}</html>")]

@@ -37,7 +37,11 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:\"[^\"]*\
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[a-z]+")
 #: Fixed values of the mark-up language.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "head"}
+RAW = {"script", "style", "textarea", "title"}
+#: Elements whose text is ignored.
+QUIET = {"noscript", "template", "iframe", "svg", "head"}
+#: What a head can hold; any other element, and text, ends it.
+HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 INLINE = {"a", "b", "i", "u", "em", "strong", "span", "small", "sub", "sup", "code", "kbd", "abbr", "cite", "q", "mark", "font", "time", "label", "s", "del", "ins", "tt", "var", "samp", "big", "bdi", "bdo", "data", "dfn"}
 KINDS = {"nav": 1, "menu": 1, "header": 2, "footer": 3, "aside": 4, "form": 5, "button": 5, "select": 5, "article": 6, "main": 6, "section": 7, "div": 8, "p": 9, "blockquote": 9, "pre": 9, "h1": 10, "h2": 10, "h3": 10, "h4": 10, "h5": 10, "h6": 10, "ul": 11, "ol": 11, "dl": 11, "li": 12, "dt": 12, "dd": 12, "table": 13, "tr": 13, "td": 13, "th": 13, "figure": 14, "body": 15, "html": 15}
@@ -45,6 +49,9 @@ BOILER = {"nav", "navbar", "navigation", "menu", "header", "footer", "sidebar",
 CONTENT = {"article", "content", "main", "post", "entry", "body", "story", "text", "page", "prose"}
 #: An open element of the first kind ends where one of the second begins.
 CLOSES = {"p": {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "aside", "nav", "header", "footer", "form", "blockquote", "pre", "figure", "main"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+#: Elements that end a drawing, and those in which they don't.
+BREAKS = {"b", "big", "blockquote", "body", "br", "center", "code", "dd", "div", "dl", "dt", "em", "embed", "h1", "h2", "h3", "h4", "h5", "h6", "head", "hr", "i", "img", "li", "menu", "meta", "nobr", "ol", "p", "pre", "s", "small", "span", "strong", "strike", "sub", "sup", "table", "tt", "u", "ul", "var", "article", "aside", "footer", "header", "main", "nav", "section"}
+HOSTS = {"foreignobject", "desc"}
 
 
 class Node:
@@ -62,12 +69,16 @@ class Node:
 def parse(page: str) -> list[Node]:
     """The nodes of a page, parents first."""
     root = Node("html", None, "")
-    nodes, stack, at, link = [root], [("html", root)], 0, 0
+    # ``quiet``: the place on the stack of the outermost open element of QUIET.
+    nodes, stack, at, link, quiet = [root], [("html", root)], 0, 0, 0
     while True:
         found = TOKEN.search(page, at)
         piece = page[at : found.start() if found else len(page)]
         node = stack[-1][1]
-        if piece:
+        if quiet and len(stack) == quiet + 1 and stack[quiet][0] == "head" and piece.strip():
+            stack.pop()
+            quiet = 0
+        if piece and not quiet:
             own = entities.unescape(piece)
             node.children.append(own)
             size = len(own.strip())
@@ -80,16 +91,35 @@ def parse(page: str) -> list[Node]:
             continue
         if found[1]:
             k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if k:
+            if quiet and k >= quiet:
+                link -= sum(t == "a" for t, _ in stack[k:])
+                del stack[k:]
+                quiet = quiet if k > quiet else 0
+            elif k:
+                quiet = 0
                 link -= sum(t == "a" for t, _ in stack[k:])
                 if any(t not in INLINE for t, _ in stack[k:]):
                     stack[k - 1][1].children.append(None)
                 del stack[k:]
             continue
-        if tag in RAW:
+        if quiet:
+            opened = stack[quiet][0]
+            ends = tag == "body" or tag not in HEAD and len(stack) == quiet + 1 if opened == "head" else opened == "svg" and tag in BREAKS and not any(t in HOSTS for t, _ in stack[quiet:])
+            if ends:
+                link -= sum(t == "a" for t, _ in stack[quiet:])
+                del stack[quiet:]
+                quiet = 0
+        if tag in RAW and not (quiet and found[3].endswith("/")):
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = close.end() if close else len(page)
             continue
+        if quiet or tag in QUIET:
+            if tag in VOID or found[3].endswith("/") or tag == "head" and (root.kids or root.text):
+                continue
+            quiet = quiet or len(stack)
+            link += tag == "a"
+            stack.append((tag, node))
+            continue
         node.tags += 1
         if tag in VOID:
             node.children.append(None)
