@@ -51,3 +51,12 @@ def test_edges(spark, edge, nothing, sf):
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, edge, sf).collect()
         assert stage(spark, nothing, sf).count() == 0, name
+
+
+def test_near_copies_keep_one_of_each_group_of_null_and_equal_ids(spark, docs, sf):
+    a, b, c, d = ("".join(f"{name}{k * k} " for k in range(60)) for name in ("ant", "bee", "cat", "dog"))
+    rows = [(None, a), (None, a), (None, b), (5, c), (5, d), (5, d), (None, c), (3, d.upper())]
+    made = spark.createDataFrame([(k, t, None, None, len(t)) for k, t in rows], docs.schema).repartition(3)
+    found = NAMED["near_copies"](spark, made, sf)
+    assert found.columns == docs.columns
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in found.collect())) == sorted([(0, a), (0, b), (5, c), (3, d.upper())])

@@ -111,6 +111,24 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)
 
 
+def _rooted(prints: DataFrame) -> DataFrame:
+    """Each distinct ``fp`` with the ``root`` of its component."""
+    classes = keep(prints.select("fp").distinct(), "classes")
+    parts = keep(connected_components(fingerprint_links(classes)), "parts")
+    return classes.join(parts, classes["fp"] == parts["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``df`` for each component, also for those of null ids only: the first by id (nulls last), hash of the text, text and the other columns."""
+    hashed = keep(with_fingerprint(df.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))), "fingerprints")
+    own = hashed.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first"))
+    firsts = own.join(_rooted(hashed), "fp").groupBy("root").agg(F.min("first").alias("first")).select("root", "first.id", "first.th")
+    named = df.withColumn("_th", F.xxhash64(text))
+    found = named.join(firsts, named[doc_id].eqNullSafe(firsts["id"]) & (named["_th"] == firsts["th"]))
+    rest = [c for c in df.columns if c not in (doc_id, text)]
+    return found.groupBy("root").agg(F.min(F.struct(text, doc_id, *rest)).alias("row")).select(*[F.col("row")[c].alias(c) for c in df.columns])
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` of every row of ``df``."""
     hashed = keep(with_fingerprint(df.select(doc_id, text), text), "fingerprints")
