@@ -12,6 +12,17 @@ def member_on(day: Column, *, compat: bool = False) -> Column:
     return (F.col("entry_date") <= day) & (F.col("exit_date").isNull() | ends)
 
 
+def daily_counts(members: DataFrame, days: DataFrame) -> DataFrame:
+    """Members of each index on each of the distinct ``day`` of ``days``, where there are any: running sums of entries less exits."""
+    valid = members.where("entry_date is not null and (exit_date is null or exit_date > entry_date)")
+    entries = valid.select("index_code", F.col("entry_date").alias("day"), F.lit(1).alias("step"), F.lit(False).alias("asked"))
+    exits = valid.where("exit_date is not null").select("index_code", F.col("exit_date").alias("day"), F.lit(-1).alias("step"), F.lit(False).alias("asked"))
+    calendar = days.select("day").distinct().crossJoin(valid.select("index_code").distinct()).select("index_code", "day", F.lit(0).alias("step"), F.lit(True).alias("asked"))
+    daily = entries.unionByName(exits).unionByName(calendar).groupBy("index_code", "day").agg(F.sum("step").alias("step"), F.max("asked").alias("asked"))
+    running = daily.withColumn("members", F.sum("step").over(Window.partitionBy("index_code").orderBy("day")))
+    return running.where("asked and members > 0").select("day", "index_code", "members")
+
+
 def overlapping(members: DataFrame, start: str, end: str) -> DataFrame:
     return members.where((F.col("entry_date") <= F.lit(end).cast("date")) & (F.col("exit_date").isNull() | (F.col("exit_date") > F.lit(start).cast("date"))))
 

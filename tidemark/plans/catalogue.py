@@ -145,6 +145,12 @@ def _clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return universe.clip(rows, constituents(spark, sf_dir), "symbol_id")
 
 
+@query("universe_daily_counts_all", "SELECT d.day, m.index_code, count(*) AS members FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM {orders}) d JOIN [members] m ON m.entry_date <= d.day AND (m.exit_date IS NULL OR m.exit_date > d.day) GROUP BY d.day, m.index_code")
+def _daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"))
+    return universe.daily_counts(constituents(spark, sf_dir), days)
+
+
 @query("sync_exits", "SELECT symbol_id FROM [members] m WHERE index_code = 'BUILDING' AND exit_date IS NULL AND symbol_id % 97 = 0")
 def _sync_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = constituents(spark, sf_dir).where("index_code = 'BUILDING' AND exit_date IS NULL").select("symbol_id")
