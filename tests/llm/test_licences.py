@@ -37,8 +37,8 @@ def test_edges(edge, nothing):
 def test_wrapped_dual_and_in_line_notices(spark):
     mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'
     apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
-    gpl = licenses.TEMPLATES["gpl-3.0"][1]
-    agpl = gpl.replace("gnu general", "gnu affero general")
+    gpl = licenses.TEMPLATES["gpl-3.0"][2]
+    agpl = gpl.replace("GNU General", "GNU Affero General")
     prose = " ".join(["the boats left that harbour before dawn and came home after work"] * 60)
     wrap = lambda text: "\n".join(textwrap.wrap(text, 40))
     cases = [
@@ -49,6 +49,12 @@ def test_wrapped_dual_and_in_line_notices(spark):
         ("dual licensed under the MIT license or the Apache License, Version 2.0", ["apache-2.0", "mit"]),
         (f"{prose} {mit} {prose} {apache} {prose}", ["apache-2.0", "mit"]),
         ("licensed under CC BY SA 4.0", ["cc-by-sa"]),
+        ("This work is licensed under CC BY-NC-SA 4.0.", ["cc-by-nc-sa"]),
+        (wrap(gpl.replace("version 3", "version 2")), ["gpl-2.0"]),
+        ("Licensed under the GNU General Public License version 3", ["gpl-3.0"]),
+        ("# SPDX-License-Identifier: MIT\nimport os", ["mit"]),
+        ("// SPDX-License-Identifier: GPL-2.0-or-later", ["gpl-2.0"]),
+        (wrap(licenses.TEMPLATES["bsd"][3].capitalize() + ": redistributions of source code must retain the above copyright notice"), ["bsd"]),
         ("permission is hereby granted free of charge to any person\n\nobtaining a copy of this software and associated documentation files", []),
     ]
     docs = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(cases)], "doc_id long, text string")

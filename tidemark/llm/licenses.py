@@ -1,22 +1,27 @@
 """License scans: a trained classifier that templates confirm, in DataFrame operations only.
 
-Neighbouring lines that aren't blank are a paragraph. A paragraph that holds
-enough of a template's bigrams is cut into overlapping windows, from each word
-on, as long as the template and as long as the longest example made of it, so
-notices may be wrapped, follow each other or lie within long text.
+Neighbouring lines that aren't blank are a paragraph, cut into words. Of a
+paragraph that has an anchor of some template, the bigrams that templates hold
+are listed with their places; only paragraphs with enough of one template's
+bigrams go on. In these, windows from each bigram found, as long as the
+template and as long as the longest example made of it, hold notices that may
+be wrapped, follow each other or lie within long text.
 
 A window's word n-grams (one to three words) are hashed to a sparse vector
 and a multinomial logistic regression names a licence family or ``unknown``.
 It is trained on notices made here from a few templates for each family and
-from prose and notices that name no known licence, with seeded changes; a
-held-out part of these sets the least probability at which a family counts, so
-that the unknown class keeps a stated share of its own. Each family's
-probability is taken against that of ``unknown`` alone, so that several can
-count in one window. A family is then confirmed by comparing the window with its
-templates: the share of a template's words that it holds in order of bigrams.
-A template that lacks a bigram where the window has that of a kindred family
-(``rivals``: "gnu general" where "gnu affero" stands) isn't confirmed, nor is
-one of which all bigrams found belong to a better one of another family there.
+from prose and notices that name no known licence, with seeded changes. Each
+family's probability is taken against that of ``unknown`` alone, so that
+several can count in one window; an isotonic regression on a held-out part of
+the examples turns it into the share of such windows that do name the family,
+and one below ``SURE`` is unknown.
+
+A family is then confirmed by comparing the window with its template: the share
+of the template's bigrams that it holds is ``CONFIRMED`` or more, and against
+each kindred template of another family (one that shares half its bigrams) the
+window holds a bigram that only this one has: "version 3" where another has
+"version 2", "gnu general" where another has "gnu affero". A family whose
+bigrams found are all part of another's that is found there isn't reported.
 
 A template is confirmed by a share of its bigrams, so a paragraph without any of
 some of its words (``anchors``) can't reach that share; paragraphs without an
@@ -26,55 +31,68 @@ Defined results: a null text has no paragraphs; blank paragraphs are skipped;
 a paragraph of several families gets each; of overlapping windows of a family
 the one of highest confirmation, then the shortest and first, is reported, so
 equal lines in one document are reported each. ``paragraph`` is the number of
-the line that holds the first word of the window.
+the line that holds the first word of the window. Rows of equal id are one
+document with the notices of all.
 """
 
 from __future__ import annotations
 
 import random
+import re
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.storage import keep
+
 #: Public names and usual wordings of licence notices.
 TEMPLATES = {
-    "apache-2.0": ["licensed under the apache license version 2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www.apache.org licenses license 2.0"],
-    "mit": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"],
-    "gpl-3.0": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"],
-    "gpl-2.0": ["licensed under the gnu general public license version 2", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license"],
-    "lgpl": ["licensed under the gnu lesser general public license", "under the terms of the gnu lesser general public license as published by the free software foundation"],
-    "agpl-3.0": ["licensed under the gnu affero general public license version 3", "under the terms of the gnu affero general public license as published by the free software foundation"],
-    "bsd": ["licensed under the bsd 3 clause license", "released under the bsd license", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v. 2.0", "licensed under the mozilla public license version 2.0"],
-    "cc-by": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"],
-    "cc-by-sa": ["licensed under cc by sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license"],
-    "cc-by-nc": ["licensed under cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license"],
-    "cc0": ["released under cc0 1.0 universal public domain dedication", "to the extent possible under law the author has waived all copyright and related rights to this work"],
+    "apache-2.0": ["licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"],
+    "mit": ["released under the MIT license", "licensed under the MIT license", "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction", "SPDX-License-Identifier: MIT"],
+    "gpl": ["licensed under the GNU General Public License", "under the terms of the GNU General Public License as published by the Free Software Foundation"],
+    "gpl-3.0": ["licensed under the GNU General Public License version 3", "licensed under the GNU General Public License v3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: GPL-3.0"],
+    "gpl-2.0": ["licensed under the GNU General Public License version 2", "licensed under the GNU General Public License v2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "SPDX-License-Identifier: GPL-2.0"],
+    "lgpl": ["licensed under the GNU Lesser General Public License", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1", "SPDX-License-Identifier: LGPL-3.0"],
+    "agpl-3.0": ["licensed under the GNU Affero General Public License version 3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0"],
+    "bsd": ["licensed under the BSD 3-clause license", "licensed under the BSD license", "released under the BSD license", "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause"],
+    "mpl-2.0": ["this Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the Mozilla Public License version 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "cc-by": ["licensed under CC BY 4.0", "licensed under a Creative Commons Attribution 4.0 International License", "SPDX-License-Identifier: CC-BY-4.0"],
+    "cc-by-sa": ["licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "cc-by-nc": ["licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "cc-by-nc-sa": ["licensed under CC BY-NC-SA 4.0", "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-SA-4.0"],
+    "cc-by-nd": ["licensed under CC BY-ND 4.0", "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "SPDX-License-Identifier: CC-BY-ND-4.0"],
+    "cc0": ["released under CC0 1.0 Universal Public Domain Dedication", "to the extent possible under law, the author has waived all copyright and related rights to this work", "SPDX-License-Identifier: CC0-1.0"],
 }
 UNKNOWN = "unknown"
 #: Notices that name no known licence.
-OTHERS = ["all rights reserved no part of this work may be reproduced", "see the license for details", "licensed to you under our terms of service", "a license fee applies to every commercial use", "this software is licensed not sold", "copyright by the authors", "driving license office opening hours", "the general public is free to visit under these terms"]
+OTHERS = ["all rights reserved no part of this work may be reproduced", "see the license for details", "licensed to you under our terms of service", "a license fee applies to every commercial use", "this software is licensed not sold", "copyright by the authors", "driving license office opening hours", "the general public is free to visit under these terms", "licensed under the terms of the contract", "permission is granted to the staff to enter the building free of charge"]
 #: Words that are frequent in prose; anchors are taken from others first.
 FREQUENT = set("the of and to in is that for with this was on are by from as it be or an at not have which under work other following without person these terms after public".split())
 FEATURES = 1 << 14
-SEED, EXAMPLES, UNKNOWN_KEPT, CONFIRMED = 5, 40, 0.99, 0.7
+SEED, EXAMPLES, SURE, CONFIRMED = 5, 40, 0.5, 0.7
 #: The most words around a template in an example.
 AROUND = 18
 
 
+def told(text: str) -> list[str]:
+    """The words of a template, as ``words`` cuts them."""
+    return re.findall(r"[^\W\d_]+[0-9]*|[0-9]+(?:\.[0-9]+)*", text.lower())
+
+
 def bigrams(template: str) -> set[str]:
-    own = template.split()
+    own = told(template)
     return {f"{a} {b}" for a, b in zip(own, own[1:])}
 
 
 def anchors(template: str) -> set[str]:
     """Words without all of which fewer than CONFIRMED of the template's bigrams are left; long and rare ones first."""
     left, whole, taken = bigrams(template), len(bigrams(template)), set()
-    for word in sorted(set(template.split()), key=lambda w: (w in FREQUENT, -len(w), w)):
+    for word in sorted(set(told(template)), key=lambda w: (w in FREQUENT, -len(w), w)):
         if len(left) < CONFIRMED * whole:
             break
         taken.add(word)
@@ -82,14 +100,15 @@ def anchors(template: str) -> set[str]:
     return taken
 
 
-def rivals(family: str, template: str) -> list[tuple[str, str]]:
-    """Pairs of a bigram of the template and another with the same first word in a template of another family that shares half of either."""
+def musts(family: str, template: str) -> list[list[str]]:
+    """For each kindred template of another family, the bigrams that only this one has, those where the other goes on differently if there are any: a window must hold one of each list."""
     own, found = bigrams(template), set()
     for name, texts in TEMPLATES.items():
         for other in map(bigrams, texts):
-            if name != family and 2 * len(own & other) >= min(len(own), len(other)):
-                found |= {(a, b) for a in own for b in other - own if a.split()[0] == b.split()[0]}
-    return sorted(found)
+            if name != family and own - other and 2 * len(own & other) >= min(len(own), len(other)):
+                forks = {a for a in own - other if any(b.split()[0] == a.split()[0] for b in other - own)}
+                found.add(tuple(sorted(forks or own - other)))
+    return [list(one) for one in sorted(found)]
 
 
 def has_anchor(text: Column) -> Column:
@@ -127,7 +146,7 @@ def examples() -> list[tuple[str, str, bool]]:
     for family, texts in {**TEMPLATES, UNKNOWN: OTHERS}.items():
         for text in texts:
             for k in range(EXAMPLES):
-                parts = text.split()
+                parts = told(text)
                 if k and rng.random() < 0.5:
                     parts = [w for w in parts if rng.random() > 0.05]
                 before = rng.choices(prose, k=rng.choice((0, 0, 2, 6)))
@@ -138,29 +157,26 @@ def examples() -> list[tuple[str, str, bool]]:
     return made
 
 
-def train(spark: SparkSession) -> tuple[LogisticRegressionModel, list[str], float]:
-    """The model, its families by index, and the least probability, against unknown alone, at which a family counts."""
+def train(spark: SparkSession) -> tuple[LogisticRegressionModel, list[str], IsotonicRegressionModel]:
+    """The model, its families by index, and the calibration of a family's probability against unknown alone."""
     families = [*sorted(TEMPLATES), UNKNOWN]
     rows = spark.createDataFrame([(t, families.index(f), c) for t, f, c in examples()], "text string, label int, calibrate boolean").coalesce(1)
     rows = _vectors(rows.withColumn("words", words(F.col("text")))).select("features", "label", "calibrate").cache()
     model = LogisticRegression(maxIter=40, regParam=1e-3, family="multinomial").fit(rows.where("not calibrate").withColumn("label", F.col("label").cast("double")))
     odds = vector_to_array(F.col("probability"))
-    known, unknown = F.array_max(F.slice(odds, 1, len(families) - 1)), F.get(odds, len(families) - 1)
-    top = model.transform(rows.where("calibrate")).where(F.col("label") == len(families) - 1).select((known / (known + unknown)).alias("p"))
-    least = top.agg(F.percentile("p", F.lit(UNKNOWN_KEPT))).first()[0]
+    last = len(families) - 1
+    each = model.transform(rows.where("calibrate")).select("label", F.get(odds, F.lit(last)).alias("none"), F.posexplode(F.slice(odds, 1, last)).alias("family", "odd"))
+    # Of the families of an example those count that the model prefers to unknown or that it does name.
+    shown = each.select((F.col("odd") / (F.col("odd") + F.col("none"))).alias("raw"), (F.col("label") == F.col("family")).cast("double").alias("right")).where("right = 1 or raw > 0.5")
+    calibration = IsotonicRegression(featuresCol="raw", labelCol="right", predictionCol="probability").fit(shown)
     rows.unpersist()
-    return model, families, max(0.5, float(least))
+    return model, families, calibration
 
 
-def _templates() -> Column:
-    """All templates with their words' number, bigrams and rivals."""
-    made = []
-    for family, texts in TEMPLATES.items():
-        for text in texts:
-            pairs = F.array(*[F.lit(p) for p in sorted(bigrams(text))])
-            others = F.array(*[F.struct(F.lit(a).alias("own"), F.lit(b).alias("other")) for a, b in rivals(family, text)]).cast("array<struct<own:string,other:string>>")
-            made.append(F.struct(F.lit(family).alias("family"), F.lit(len(text.split())).alias("length"), pairs.alias("pairs"), others.alias("rivals")))
-    return F.array(*made)
+def _templates(spark: SparkSession) -> DataFrame:
+    """A row for each bigram of each template: its number, family, words' number, bigrams' number and musts. A few hundred rows, whatever the input."""
+    rows = [(pair, k, family, len(told(text)), len(bigrams(text)), musts(family, text)) for k, (family, text) in enumerate((f, t) for f, texts in TEMPLATES.items() for t in texts) for pair in sorted(bigrams(text))]
+    return spark.createDataFrame(rows, "pair string, template int, licence string, length int, total int, musts array<array<string>>")
 
 
 def _paragraphs(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -172,40 +188,45 @@ def _paragraphs(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     bounds = full.withColumn("first", F.filter(numbers, lambda k: at(k) & ~at(k - 1))).withColumn("last", F.filter(numbers, lambda k: at(k) & ~at(k + 1)))
     own = F.transform(F.arrays_zip("first", "last"), lambda z: F.struct(z["first"].alias("first"), F.slice("lines", z["first"] + 1, z["last"] - z["first"] + 1).alias("own")))
     parts = bounds.select("doc_id", F.inline(own)).where(has_anchor(F.array_join("own", "\n")))
-    told = parts.select("doc_id", "first", F.transform("own", words).alias("each"))
+    cut = parts.select("doc_id", "first", F.transform("own", words).alias("each"))
     places = F.flatten(F.transform("each", lambda w, k: F.array_repeat(F.col("first") + k, F.size(w))))
-    return told.select("doc_id", F.monotonically_increasing_id().alias("p"), F.flatten("each").alias("words"), places.alias("at"))
+    return cut.select("doc_id", F.monotonically_increasing_id().alias("p"), F.flatten("each").alias("words"), places.alias("at"))
 
 
 def _windows(paragraphs: DataFrame) -> DataFrame:
-    """Windows that hold enough of a template, each from a bigram of it to the last one found."""
-    every = F.array(*[F.lit(b) for b in sorted(set().union(*[bigrams(t) for texts in TEMPLATES.values() for t in texts]))])
-    share = lambda pairs, t: F.size(F.array_intersect(pairs, t["pairs"])) / F.size(t["pairs"])
-    held = paragraphs.withColumn("held", F.array_intersect(grams(F.col("words"), 2), every))
-    some = held.select("doc_id", "p", "words", "at", F.explode(F.filter(_templates(), lambda t: share(F.col("held"), t) >= CONFIRMED)).alias("t"))
-    begins = F.filter(F.sequence(F.lit(0), F.size("words") - 2), lambda k: F.array_contains(F.col("t.pairs"), F.concat_ws(" ", F.get("words", k), F.get("words", k + 1))))
-    placed = some.select("doc_id", "p", "words", "at", "t", F.explode(begins).alias("start"))
-    sized = placed.withColumn("length", F.explode(F.array(F.col("t.length"), 2 * F.col("t.length") + AROUND)))
-    cut = sized.select("doc_id", "p", "t", "start", F.get("at", F.col("start")).alias("paragraph"), F.slice("words", F.col("start") + 1, F.col("length")).alias("words"))
-    found = cut.withColumn("pairs", grams(F.col("words"), 2)).withColumn("hits", F.array_intersect("pairs", "t.pairs"))
-    sure = found.withColumn("confirmation", F.size("hits") / F.size("t.pairs")).where(F.col("confirmation") >= CONFIRMED)
-    other = F.exists("t.rivals", lambda r: F.array_contains("pairs", r["other"]) & ~F.array_contains("hits", r["own"]))
-    size = F.array_max(F.transform("hits", lambda h: F.array_position("pairs", h))).cast("int") + 1
-    ended = sure.where(~other).withColumn("size", size)
-    return ended.select("doc_id", "p", "start", "size", "paragraph", "words", "hits", "confirmation", F.col("t.family").alias("licence"))
+    """Windows of which a template is confirmed, each from a bigram of it to the last one found."""
+    every = sorted(set().union(*[bigrams(t) for texts in TEMPLATES.values() for t in texts]))
+    told_pairs = paragraphs.select("p", F.posexplode(grams(F.col("words"), 2)).alias("start", "pair")).where(F.col("pair").isin(every))
+    hits = told_pairs.join(F.broadcast(_templates(paragraphs.sparkSession)), "pair")
+    enough = hits.groupBy("p", "template", "total").agg(F.count_distinct("pair").alias("n")).where(F.col("n") >= CONFIRMED * F.col("total")).select("p", "template")
+    some = keep(hits.join(enough, ["p", "template"]), "licence_hits")
+    after = some.select("p", "template", F.col("start").alias("at"), F.col("pair").alias("hit"))
+    longest = 2 * F.col("length") + AROUND
+    inside = (F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + longest - 1)
+    near = some.join(after, ["p", "template"]).where(inside)
+    short = F.when(F.col("at") < F.col("start") + F.col("length") - 1, F.struct("hit", "at"))
+    sets = near.groupBy("p", "template", "start", "licence", "total", "musts").agg(F.collect_set(short).alias("a"), F.collect_set(F.struct("hit", "at")).alias("b"))
+    each = sets.select("p", "start", "licence", "total", "musts", F.explode(F.array("a", "b")).alias("found"))
+    sized = each.select("p", "start", "licence", "musts", F.array_distinct("found.hit").alias("hits"), "total", (F.array_max("found.at") - F.col("start") + 2).alias("size"))
+    sure = sized.withColumn("confirmation", F.size("hits") / F.col("total")).where(F.col("confirmation") >= CONFIRMED)
+    held = sure.where(F.forall("musts", lambda own: F.arrays_overlap(own, F.col("hits"))))
+    return held.select("p", "start", "size", "licence", F.array_sort("hits").alias("hits"), "confirmation").distinct()
 
 
 def scan(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every notice that a licence family is confirmed for: ``doc_id, paragraph, licence, probability, confirmation``."""
-    model, families, least = train(df.sparkSession)
-    scored = model.transform(_vectors(_windows(_paragraphs(df, doc_id, text)))).withColumn("odds", vector_to_array(F.col("probability")))
+    model, families, calibration = train(df.sparkSession)
+    paragraphs = keep(_paragraphs(df, doc_id, text), "licence_paragraphs")
+    windows = _windows(paragraphs).join(paragraphs, "p")
+    cut = windows.withColumn("paragraph", F.get("at", F.col("start"))).withColumn("words", F.slice("words", F.col("start") + 1, F.col("size"))).drop("at")
+    scored = model.transform(_vectors(cut)).withColumn("odds", vector_to_array(F.col("probability"))).drop("probability")
     names = F.array(*[F.lit(f) for f in families])
     own = F.get("odds", F.array_position(names, F.col("licence")).cast("int") - 1)
-    likely = scored.withColumn("probability", own / (own + F.get("odds", F.lit(len(families) - 1)))).where(F.col("probability") >= least)
+    likely = calibration.transform(scored.withColumn("raw", own / (own + F.get("odds", F.lit(len(families) - 1))))).where(F.col("probability") >= SURE)
     window = F.struct((-F.col("confirmation")).alias("order"), "size", "start", "licence", "paragraph", "probability", "confirmation", "hits")
     listed = likely.groupBy("doc_id", "p").agg(F.sort_array(F.collect_set(window)).alias("w"))
     meet = lambda x, y: (x["start"] < y["start"] + y["size"]) & (y["start"] < x["start"] + x["size"])
-    part = lambda x, y: (x["licence"] != y["licence"]) & (x["confirmation"] < y["confirmation"]) & meet(x, y) & (F.size(F.array_except(x["hits"], y["hits"])) == 0)
+    part = lambda x, y: (x["licence"] != y["licence"]) & (F.size(x["hits"]) < F.size(y["hits"])) & meet(x, y) & (F.size(F.array_except(x["hits"], y["hits"])) == 0)
     own_ones = listed.withColumn("w", F.filter("w", lambda x: ~F.exists("w", lambda y: part(x, y))))
     same = lambda x, y: (x["licence"] == y["licence"]) & (meet(x, y) | (x["paragraph"] == y["paragraph"]))
     taken = F.aggregate("w", F.slice("w", 1, 0), lambda kept, x: F.when(F.exists(kept, lambda y: same(x, y)), kept).otherwise(F.concat(kept, F.array(x))))
