@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 
 
 def smoothed(bars: DataFrame, key: str, *, spans: tuple[int, ...] = (12, 26), signal: int = 9, wilder: int = 14) -> DataFrame:
-    """``ema_<span>`` of close, ``macd`` and its signal, ``rsi``; nulls in close decay the old weight.
+    """``ema_<span>`` of close, ``macd`` and its signal, ``rsi``; with highs and lows also ``atr_wilder``; nulls in close decay the old weight.
 
     A series is one symbol's bars; its length is that of its history, not of the table.
     """
@@ -26,8 +26,14 @@ def smoothed(bars: DataFrame, key: str, *, spans: tuple[int, ...] = (12, 26), si
         up = change.clip(lower=0).ewm(alpha=1 / wilder, adjust=False, min_periods=wilder).mean()
         down = (-change.clip(upper=0)).ewm(alpha=1 / wilder, adjust=False, min_periods=wilder).mean()
         frame["rsi"] = 100 * up / (up + down)
-        return frame[[key, "time", *names, "macd", "macd_signal", "rsi"]]
+        if wide:
+            before = close.shift()
+            span = pd.concat([frame["high"] - frame["low"], (frame["high"] - before).abs(), (frame["low"] - before).abs()], axis=1).max(axis=1)
+            frame["atr_wilder"] = span.ewm(alpha=1 / wilder, adjust=False, min_periods=wilder).mean()
+        return frame[[key, "time", *outs]]
 
-    rows = bars.select(key, "time", "close")
+    wide = {"high", "low"} <= {*bars.columns}
+    outs = [*names, "macd", "macd_signal", "rsi", *["atr_wilder"] * wide]
+    rows = bars.select(key, "time", "close", *["high", "low"] * wide)
     out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:2])
-    return rows.groupBy(key).applyInPandas(run, f"{out}, " + ", ".join(f"{c} double" for c in [*names, "macd", "macd_signal", "rsi"]))
+    return rows.groupBy(key).applyInPandas(run, f"{out}, " + ", ".join(f"{c} double" for c in outs))

@@ -1,4 +1,4 @@
-"""Simulation: signals, alignment and fills are window operations; the cash fold is one grouped pass a run."""
+"""Simulation: signals, fills and daily marks are Spark's; the cash fold sees days with orders only, one group a run."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.indicators import crossings, series, sma
+from tidemark.sources.shared import written
 
 
 def signal_grid(bars: DataFrame, key: str, fasts: list[int], slows: list[int], mode: str = "strict") -> DataFrame:
@@ -23,6 +24,12 @@ def signal_grid(bars: DataFrame, key: str, fasts: list[int], slows: list[int], m
     return lists.select(key, "time", "open", "close", F.explode("all").alias("s")).select(key, "time", "open", "close", "s.*")
 
 
+def warmup_violations(signals: DataFrame, keys: list[str], slow: str) -> DataFrame:
+    """Signals among the first ``slow`` - 1 bars of a series, where the slow average can't be known."""
+    w = Window.partitionBy(*keys).orderBy("time")
+    return signals.withColumn("_bar", F.row_number().over(w)).where((F.col("_bar") < F.col(slow)) & (F.col("entry") | F.col("exit"))).drop("_bar")
+
+
 def single_stock(signals: DataFrame, keys: list[str], fee: float = 0.001) -> DataFrame:
     """Equity of all-in and all-out at the next open for each run, as a closed form over windows."""
     w = Window.partitionBy(*keys).orderBy("time")
@@ -34,31 +41,63 @@ def single_stock(signals: DataFrame, keys: list[str], fee: float = 0.001) -> Dat
     return was.withColumn("equity", F.product(change).over(w.rowsBetween(Window.unboundedPreceding, 0))).select(*keys, "time", "held", "equity")
 
 
-def portfolio(signals: DataFrame, run: str, key: str, *, capital: float = 100_000.0, fee: float = 0.001) -> DataFrame:
-    """Equity of each run over all its symbols: exits, then entries by name, then the mark. Orders fill at the next open.
+ORDERS = "side int, shares double, fill double, cash double, no int"
+
 
-    A run's fold is sequential, so runs are what is parallel.
+def _fold(frame: pd.DataFrame, run: str, key: str, capital: float, fee: float) -> pd.DataFrame:
+    """The orders of one run that were carried out, in turn: exits, then entries, each by name."""
+    cash, shares, out = capital, {}, []
+    for time, day in frame.sort_values(["time", key]).groupby("time", sort=True):
+        marks = dict(zip(day[key], day["mark"]))
+        fills = {k: f for k, f in zip(day[key], day["fill"]) if pd.notna(f)}
+        for name in day[key][day["exit"]]:
+            if name in shares and name in fills:
+                sold = shares.pop(name)
+                cash += sold * fills[name] * (1 - fee)
+                out.append((frame[run].iloc[0], name, time, -1, sold, fills[name], cash, len(out)))
+        new = [name for name in day[key][day["entry"]] if name not in shares]
+        if new:
+            allocation = (cash + sum(n * marks[k] for k, n in shares.items() if pd.notna(marks.get(k)))) / (len(shares) + len(new))
+            for name in new:
+                fill = fills.get(name, 0.0)
+                if fill <= 0:
+                    continue
+                cost = allocation * (1 - fee)
+                if cost > cash:
+                    cost = cash * (1 - fee)
+                if cost > 0:
+                    shares[name] = cost / fill
+                    cash -= cost * (1 + fee)
+                    out.append((frame[run].iloc[0], name, time, 1, shares[name], fill, cash, len(out)))
+    return pd.DataFrame(out, columns=[run, key, "time", "side", "shares", "fill", "cash", "no"])
+
+
+def portfolio(signals: DataFrame, run: str, key: str, *, capital: float = 100_000.0, fee: float = 0.001, carry: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Daily equity and closed trades of each run over all its symbols.
+
+    Orders fill at the symbol's next open and are booked on the signal's day;
+    one without a fill lapses. All symbols that newly signal an entry share the
+    equity equally with those held, within the cash there is. A missing close
+    counts nothing that day; ``carry`` takes the last one instead. Returns
+    (``time, value, positions``; ``entry_time, exit_time, entry_fill, exit_fill,
+    net_return``), each with the run. The fold sees a run's days with orders;
+    holdings are marked daily by a join.
     """
     w = Window.partitionBy(run, key).orderBy("time")
-    rows = signals.withColumn("fill", F.lead("open").over(w)).select(run, key, "time", "close", "entry", "exit", "fill")
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        cash, shares, last, out = capital, {}, {}, []
-        for time, day in frame.sort_values(["time", key]).groupby("time", sort=True):
-            last.update({k: c for k, c in zip(day[key], day["close"]) if pd.notna(c)})
-            orders = day[pd.notna(day["fill"])]
-            for name, fill in zip(orders[key][orders["exit"]], orders["fill"][orders["exit"]]):
-                if name in shares:
-                    cash += shares.pop(name) * fill * (1 - fee)
-            fresh = [(n, f) for n, f, e in zip(orders[key], orders["fill"], orders["entry"]) if e and n not in shares]
-            if fresh:
-                share = (cash + sum(n * last.get(k, 0.0) for k, n in shares.items())) / (len(shares) + len(fresh))
-                for name, fill in fresh:
-                    spend = min(share, cash) * (1 - fee)
-                    shares[name] = spend / fill
-                    cash -= spend * (1 + fee)
-            out.append((frame[run].iloc[0], time, cash + sum(n * last.get(k, 0.0) for k, n in shares.items()), len(shares)))
-        return pd.DataFrame(out, columns=[run, "time", "value", "positions"])
-
+    mark = F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if carry else F.col("close")
+    rows = written(signals.withColumn("fill", F.lead("open").over(w)).withColumn("mark", mark).select(run, key, "time", "mark", "entry", "exit", "fill"), "signals")
+    days = rows.where("entry or exit").select(run, "time").distinct()
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.groupBy(run).applyInPandas(fold, f"{run} {kinds[run]}, time {kinds['time']}, value double, positions long")
+    shape = f"{run} {kinds[run]}, {key} {kinds[key]}, time {kinds['time']}, {ORDERS}"
+    orders = written(rows.join(days, [run, "time"]).groupBy(run).applyInPandas(lambda frame: _fold(frame, run, key, capital, fee), shape), "orders")
+    of_symbol = Window.partitionBy(run, key).orderBy("no")
+    spans = orders.withColumn("until", F.lead("time").over(of_symbol)).withColumn("exit_fill", F.lead("fill").over(of_symbol)).where("side = 1")
+    held = spans.select(run, key, "shares", F.col("time").alias("since"), "until")
+    worth = rows.join(held, [run, key]).where("time >= since and (until is null or time < until)").groupBy(run, "time").agg(F.sum(F.col("shares") * F.coalesce("mark", F.lit(0.0))).alias("worth"), F.count("*").alias("positions"))
+    cash = orders.groupBy(run, "time").agg(F.max_by("cash", "no").alias("cash"))
+    daily = rows.select(run, "time").distinct().join(cash, [run, "time"], "left").join(worth, [run, "time"], "left")
+    so_far = Window.partitionBy(run).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    left = F.coalesce(F.last("cash", ignorenulls=True).over(so_far), F.lit(capital))
+    equity = daily.select(run, "time", (left + F.coalesce("worth", F.lit(0.0))).alias("value"), F.coalesce("positions", F.lit(0)).alias("positions"))
+    closed = spans.where("until is not null").select(run, key, F.col("time").alias("entry_time"), F.col("until").alias("exit_time"), F.col("fill").alias("entry_fill"), "exit_fill")
+    return equity, closed.withColumn("net_return", F.col("exit_fill") * (1 - fee) / (F.col("entry_fill") * (1 + fee)) - 1)

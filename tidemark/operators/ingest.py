@@ -44,3 +44,39 @@ def export(rows: DataFrame, path: str, parts: list[str], order: list[str]) -> No
 def incremental_days(last: DataFrame, now: str) -> DataFrame:
     """Days to request for each key: since the last bar plus five, seven at least; null when there is none."""
     return last.withColumn("days", F.greatest(F.datediff(F.lit(now).cast("date"), F.to_date("last_time")) + 5, F.lit(7)))
+
+
+def close_and_note(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``exit_date`` and ``source`` come from the new row where there is one, ``notes`` only where it has some."""
+    return upsert_merge(existing, new, keys, overwrite=["exit_date", "source"], fill=["notes"])
+
+
+def export_months(rows: DataFrame, path: str, *, day: str | None = None, order: list[str] = ("symbol", "time")) -> None:
+    """The month before that of ``day`` (default: all months), partitioned by year and month."""
+    at = F.col("time")
+    if day is not None:
+        first = F.trunc(F.lit(day).cast("date"), "month")
+        rows = rows.where((F.to_date(at) >= F.add_months(first, -1)) & (F.to_date(at) < first))
+    export(rows.withColumn("year", F.year(at)).withColumn("month", F.month(at)), path, ["year", "month"], list(order))
+
+
+def export_year(rows: DataFrame, path: str, year: int, order: list[str] = ("symbol", "time")) -> None:
+    """One calendar year, replacing only its partition; the current, partial year alike."""
+    at = F.col("time")
+    export(rows.where(F.year(at) == year).withColumn("year", F.year(at)), path, ["year"], list(order))
+
+
+def newest(names: DataFrame, name: str = "name", stamp: str | None = None) -> DataFrame:
+    """The last backup by name, or that of a stamp."""
+    return names.agg(F.max(name).alias(name)) if stamp is None else names.where(F.col(name).contains(stamp))
+
+
+def expired(names: DataFrame, now: str, days: dict[str, int]) -> DataFrame:
+    """Backups (``kind, name, day``) older than their kind's number of days."""
+    keep = F.coalesce(*[F.when(F.col("kind") == kind, F.lit(n)) for kind, n in days.items()])
+    return names.where(F.datediff(F.lit(now).cast("date"), "day") > keep)
+
+
+def running_total(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of each key and their running total in the order of keys. The window holds one row a key, not the rows."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).withColumn("total_written", F.sum("n").over(Window.orderBy(key)))

@@ -42,16 +42,22 @@ def with_returns(curve: DataFrame, key: str, value: str = "value") -> DataFrame:
     return curve.withColumn("r", period_return(F.col(value), w)).withColumn("drawdown", drawdown(F.col(value), w))
 
 
-def summary(curve: DataFrame, key: str, *, value: str = "value", rf: float = 0.043, periods: int = 252) -> DataFrame:
-    """One row for each run: return, growth, risk and ratios, rounded to four places."""
+def summary(curve: DataFrame, key: str, *, value: str = "value", trades: DataFrame | None = None, rf: float = 0.043, periods: int = 252) -> DataFrame:
+    """One row for each run: span, return, growth, risk and ratios to four places; with ``trades`` (``net_return``) their number and statistics, null for a run without any."""
     v, t = F.col(value), F.col("time")
     deepest = F.abs(F.min("drawdown"))
     growth = cagr(v, t)
     out = with_returns(curve, key, value).groupBy(key).agg(
+        F.to_date(F.min(t)).alias("start_date"), F.to_date(F.max(t)).alias("end_date"),
         (F.max_by(v, t) / F.nullif(F.min_by(v, t), F.lit(ZERO)) - 1).alias("total_return"), growth.alias("cagr"), deepest.alias("max_drawdown"),
         sharpe(F.col("r"), rf, periods).alias("sharpe"), sortino(F.col("r"), rf, periods).alias("sortino"), (growth / F.nullif(deepest, F.lit(ZERO))).alias("calmar"),
         F.count("*").alias("n"))
-    return out.select(key, *[F.round(c, 4).alias(c) for c in ("total_return", "cagr", "max_drawdown", "sharpe", "sortino", "calmar")], "n")
+    found = out.select(key, "start_date", "end_date", *[F.round(c, 4).alias(c) for c in ("total_return", "cagr", "max_drawdown", "sharpe", "sortino", "calmar")], F.lit(rf).alias("risk_free_rate"), "n")
+    if trades is None:
+        return found
+    r = F.col("net_return")
+    closed = trades.groupBy(key).agg(F.count(r).alias("num_trades"), F.round(win_rate(r), 4).alias("win_rate"), F.round(profit_factor(r), 4).alias("profit_factor"), F.round(F.avg(r), 6).alias("avg_trade"))
+    return found.join(closed, key, "left")
 
 
 def against_benchmark(strategy: DataFrame, bench: DataFrame, key: str, *, rf: float = 0.0, periods: int = 252) -> DataFrame:

@@ -29,3 +29,28 @@ def pending(samples: DataFrame, keys: list[str], condition, minutes: int, *, tim
     marked = samples.withColumn("_on", F.coalesce(condition, F.lit(False)))
     spans = marked.withColumn("_span", F.sum((~F.col("_on")).cast("int")).over(w)).where("_on")
     return spans.groupBy(*keys, "_span").agg(F.min(time).alias("start"), F.max(time).alias("end")).where(F.col("end") >= F.col("start") + F.expr(f"interval {minutes} minutes")).drop("_span")
+
+
+def absent(expected: DataFrame, samples: DataFrame, keys: list[str], at: str, minutes: int = 3, *, whole: bool = False) -> DataFrame:
+    """Expected series without a sample in the ``minutes`` before ``at``; ``whole``: only if none has any."""
+    end = F.lit(at).cast("timestamp_ntz")
+    recent = samples.where((F.col("time") <= end) & (F.col("time") > end - F.expr(f"interval {minutes} minutes")))
+    if whole:
+        return expected.select(*keys).distinct().crossJoin(F.broadcast(recent.limit(1).agg((F.count("*") == 0).alias("none")))).where("none").drop("none")
+    return expected.select(*keys).distinct().join(recent.select(*keys).distinct(), keys, "left_anti")
+
+
+def alert_state(values: DataFrame, value: str, above: float) -> DataFrame:
+    """``state``: alerting above the limit, ok at or below it and where there is no data, error where the value isn't a number."""
+    v = F.col(value)
+    return values.withColumn("state", F.when(v.isNull(), "ok").when(F.isnan(v), "error").when(v > above, "alerting").otherwise("ok"))
+
+
+def level(value, warn: float = 80.0, critical: float = 90.0):
+    """A share in percent as ok, warning (from ``warn``) or critical (from ``critical``)."""
+    return F.when(value >= critical, "critical").when(value >= warn, "warning").otherwise("ok")
+
+
+def panel(rows: DataFrame, columns: dict[str, str], label: str, wanted: str = ".*") -> DataFrame:
+    """A dashboard's table: columns chosen and renamed, rows of which the label matches ``wanted`` whole."""
+    return rows.where(F.col(label).rlike(f"^(?:{wanted})$")).select(*columns).withColumnsRenamed(columns)

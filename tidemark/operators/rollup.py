@@ -12,6 +12,11 @@ def ohlcv(rows: DataFrame, key: str, bucket: Column, *, price: str = "price", si
     return rows.groupBy(key, bucket.alias("bucket")).agg(F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.sum(size).alias("volume"), F.count("*").alias("bar_count"))
 
 
+def coarser(bars: DataFrame, key: str, bucket: Column) -> DataFrame:
+    """Bars of a larger ``bucket`` from finer ones of ``ohlcv``."""
+    return bars.groupBy(key, bucket.alias("bucket")).agg(F.min_by("open", "bucket").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "bucket").alias("close"), F.sum("volume").alias("volume"), F.sum("bar_count").alias("bar_count"))
+
+
 def vwap(rows: DataFrame, key: str, bucket: Column, *, price: str = "price", size: str = "size") -> DataFrame:
     total = F.sum(size)
     return rows.groupBy(key, bucket.alias("bucket")).agg((F.sum(F.col(price) * F.col(size)) / F.nullif(total, F.lit(0))).alias("vwap"), total.alias("total_volume"))

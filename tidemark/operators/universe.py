@@ -49,3 +49,40 @@ def sync(live: DataFrame, current: DataFrame, key: str, *, most_exits: int = 20)
     gone = current.select(key).distinct().join(live.select(key), key, "left_anti")
     few = gone.agg((F.count("*") <= most_exits).alias("few"))
     return new, gone.crossJoin(F.broadcast(few)).where("few").drop("few")
+
+
+def at_date(members: DataFrame, index: str, day: str) -> DataFrame:
+    """Symbols that are members of the index on a day."""
+    return members.where((F.col("index_code") == index) & member_on(F.lit(day).cast("date"))).select("symbol_id")
+
+
+def trading_days(days: DataFrame) -> DataFrame:
+    """Each date from the first to the last trading ``day`` with the number ``k`` of the last trading day up to it. A calendar is bounded by its years."""
+    numbered = days.select("day").distinct().withColumn("k", F.row_number().over(Window.orderBy("day"))).withColumn("next", F.lead("day").over(Window.orderBy("day")))
+    return numbered.select("day", "k", F.explode(F.sequence("day", F.coalesce(F.date_sub("next", 1), F.col("day")))).alias("date"))
+
+
+def weekdays(spark, start: str, end: str, holidays: DataFrame | None = None) -> DataFrame:
+    """Mondays to Fridays from start to end, without those in ``holidays`` (``day``)."""
+    one = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("day")).where(F.weekday("day") < 5)
+    return one if holidays is None else one.join(holidays.select("day"), "day", "left_anti")
+
+
+def shifted(dates: DataFrame, column: str, calendar: DataFrame, n: int, name: str) -> DataFrame:
+    """Add the trading day ``n`` before the last one up to ``column``; null where the calendar doesn't reach."""
+    own = calendar.select(F.col("date").alias(column), (F.col("k") - n).alias("_k"))
+    days = calendar.select(F.col("k").alias("_k"), F.col("day").alias(name)).distinct()
+    return dates.join(own, column, "left").join(days, "_k", "left").drop("_k")
+
+
+def load(bars: DataFrame, members: DataFrame, calendar: DataFrame, key: str, start: str, end: str, warmup: int) -> DataFrame:
+    """Bars of members whose window overlaps [start, end], from ``warmup`` trading days before the later of start and entry, up to the earlier of end and exit.
+
+    Windows of one symbol that overlap give a bar once.
+    """
+    begin = F.lit(start).cast("date")
+    held = overlapping(members, start, end).select(F.col(key).alias("_key"), "entry_date", "exit_date").withColumn("_first", F.greatest("entry_date", begin))
+    spans = shifted(held, "_first", calendar, warmup, "_from").withColumn("_from", F.coalesce("_from", "_first"))
+    day = F.to_date("time")
+    inside = (F.col(key) == F.col("_key")) & (day >= F.col("_from")) & (day <= F.lit(end).cast("date")) & (F.col("exit_date").isNull() | (day < F.col("exit_date")))
+    return bars.join(spans, inside, "left_semi")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -11,32 +9,12 @@ from pyspark.sql.types import StructType
 from tidemark.functions import indicators as ind
 from tidemark.functions.recursive import smoothed
 from tidemark.operators import backtest, ingest, metrics, monitoring, rollup, text, universe
-from tidemark.plans.shared_sql import RAW, expanded, for_check
-from tidemark.sources.market import bars_daily, constituents, table, ticks
-
-Query = Callable[[SparkSession, str], DataFrame]
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
-FOUND: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def _shared(sql: str) -> Query:
-    used = [t for t in TABLES if "{" + t + "}" in expanded(sql)]
-    return lambda spark, sf_dir: spark.sql(expanded(sql), **{t: table(spark, sf_dir, t) for t in used})
-
+from tidemark.plans.registry import FOUND, SQL, query
+from tidemark.plans.shared_sql import RAW, for_check
+from tidemark.sources.market import announcements, bars_daily, constituents, table, ticker_of, ticks
 
 for _name, _sql in RAW.items():
-    FOUND[_name], SQL[_name] = _shared(_sql), for_check(_sql)
-
-
-def query(name: str, sql: str | None = None):
-    def add(f: Query) -> Query:
-        FOUND[name] = f
-        if sql:
-            SQL[name] = for_check(sql)
-        return f
-
-    return add
+    SQL[_name] = for_check(_sql)
 
 
 def by_time() -> WindowSpec:
@@ -151,10 +129,10 @@ def _daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return universe.daily_counts(constituents(spark, sf_dir), days)
 
 
-@query("sync_exits", "SELECT symbol_id FROM [members] m WHERE index_code = 'BUILDING' AND exit_date IS NULL AND symbol_id % 97 = 0")
+@query("sync_exits", "SELECT symbol_id FROM (SELECT symbol_id, count(*) OVER () AS n FROM [members] m WHERE index_code = 'BUILDING' AND exit_date IS NULL AND symbol_id % 97 = 0) x WHERE n <= 20")
 def _sync_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = constituents(spark, sf_dir).where("index_code = 'BUILDING' AND exit_date IS NULL").select("symbol_id")
-    return universe.sync(now.where("symbol_id % 97 <> 0"), now, "symbol_id", most_exits=1_000_000)[1]
+    return universe.sync(now.where("symbol_id % 97 <> 0"), now, "symbol_id")[1]
 
 
 @query("changes_to_intervals", "SELECT CAST(symbol_id AS VARCHAR) AS ticker, entry_date, exit_date FROM [members] m")
@@ -192,7 +170,11 @@ def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.incremental_days(ticks(spark, sf_dir).groupBy("symbol_id").agg(F.max("time").alias("last_time")), "2030-01-01")
 
 
-@query("summary", None)
+CURVE = "(SELECT symbol, time, close AS v, close / lag(close) OVER (PARTITION BY symbol ORDER BY time) - 1 AS r, (close - max(close) OVER (PARTITION BY symbol ORDER BY time ROWS UNBOUNDED PRECEDING)) / max(close) OVER (PARTITION BY symbol ORDER BY time ROWS UNBOUNDED PRECEDING) AS d FROM [daily])"
+SUMMARY_SQL = f"SELECT symbol, start_date, end_date, round(total, 4) AS total_return, round(growth, 4) AS cagr, round(deepest, 4) AS max_drawdown, round(sharpe, 4) AS sharpe, round(sortino, 4) AS sortino, round(growth / nullif(deepest, 0), 4) AS calmar, 0.043::DOUBLE AS risk_free_rate, n FROM (SELECT symbol, CAST(min(time) AS DATE) AS start_date, CAST(max(time) AS DATE) AS end_date, max_by(v, time) / min_by(v, time) - 1 AS total, pow(max_by(v, time) / min_by(v, time), 365.25 / date_diff('day', CAST(min(time) AS DATE), CAST(max(time) AS DATE))) - 1 AS growth, -min(d) AS deepest, (avg(r) - 0.043 / 252) / stddev_samp(r) * sqrt(252) AS sharpe, (avg(r) - 0.043 / 252) / stddev_samp(CASE WHEN r < 0.043 / 252 THEN r END) * sqrt(252) AS sortino, count(*) AS n FROM {CURVE} c GROUP BY symbol) x"
+
+
+@query("summary", SUMMARY_SQL)
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.summary(bars_daily(spark, sf_dir).withColumnRenamed("close", "value"), "symbol")
 
@@ -243,47 +225,60 @@ def _ema(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["ema_12"] = for_check(EMA_SQL.replace("{a}", "(2.0::DOUBLE / 13)"))
 
 
-@query("macd_rsi")
+MACD_SQL = """WITH RECURSIVE b AS (SELECT symbol, time, close, close - lag(close) OVER (PARTITION BY symbol ORDER BY time) AS d, row_number() OVER (PARTITION BY symbol ORDER BY time) AS k FROM [daily]),
+e AS (SELECT symbol, time, k, close AS f, close AS s, CAST(0 AS DOUBLE) AS g, CAST(NULL AS DOUBLE) AS up, CAST(NULL AS DOUBLE) AS down FROM b WHERE k = 1
+  UNION ALL SELECT b.symbol, b.time, b.k, 2.0::DOUBLE / 13 * close + 11.0::DOUBLE / 13 * f, 2.0::DOUBLE / 27 * close + 25.0::DOUBLE / 27 * s,
+    0.2::DOUBLE * (2.0::DOUBLE / 13 * close + 11.0::DOUBLE / 13 * f - 2.0::DOUBLE / 27 * close - 25.0::DOUBLE / 27 * s) + 0.8::DOUBLE * g,
+    CASE WHEN up IS NULL THEN greatest(d, 0) ELSE greatest(d, 0) / 14 + up * 13 / 14 END, CASE WHEN down IS NULL THEN greatest(-d, 0) ELSE greatest(-d, 0) / 14 + down * 13 / 14 END
+  FROM e JOIN b ON b.symbol = e.symbol AND b.k = e.k + 1)
+SELECT symbol, time, round(f - s, 3) AS macd, round(g, 3) AS macd_signal, CASE WHEN k > 14 THEN round(100 * up / (up + down), 3) END AS rsi FROM e"""
+
+
+@query("macd_rsi", MACD_SQL)
 def _macd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return smoothed(bars_daily(spark, sf_dir), "symbol").select("symbol", "time", *[F.round(c, 6).alias(c) for c in ("macd", "macd_signal", "rsi")])
+    return smoothed(bars_daily(spark, sf_dir), "symbol").select("symbol", "time", *[F.round(c, 3).alias(c) for c in ("macd", "macd_signal", "rsi")])
 
 
 FASTS, SLOWS = [10, 20, 30], [50, 100]
 
 
-@query("signal_grid")
-def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backtest.signal_grid(bars_daily(spark, sf_dir), "symbol", FASTS, SLOWS).where("entry or exit")
+def _average(n: int) -> str:
+    w = f"OVER (PARTITION BY symbol ORDER BY time ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count(close) {w} = {n} THEN avg(close) {w} END AS a{n}"
 
 
-@query("single_stock_grid")
-def _single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signals = backtest.signal_grid(bars_daily(spark, sf_dir), "symbol", FASTS, SLOWS)
-    return backtest.single_stock(signals, ["symbol", "n_fast", "n_slow"]).withColumn("equity", F.round("equity", 9))
+def _signals_sql(keep: str) -> str:
+    wide = f"(SELECT symbol, time, open, close, {', '.join(map(_average, [*FASTS, *SLOWS]))} FROM [daily])"
+    lags = ", ".join(f"lag(a{n}) OVER (PARTITION BY symbol ORDER BY time) AS p{n}" for n in [*FASTS, *SLOWS])
+    each = " UNION ALL ".join(f"SELECT symbol, time, open, close, {f} AS n_fast, {s} AS n_slow, coalesce(a{f} > a{s} AND p{f} <= p{s}, false) AS entry, coalesce(a{f} < a{s} AND p{f} >= p{s}, false) AS exit FROM w" for f in FASTS for s in SLOWS)
+    return f"(WITH w AS (SELECT *, {lags} FROM {wide} a) SELECT * FROM ({each}) s WHERE {keep})"
 
 
-@query("portfolio_equity")
-def _portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signals = backtest.signal_grid(bars_daily(spark, sf_dir), "symbol", FASTS, SLOWS).withColumn("run", F.concat_ws("/", "n_fast", "n_slow"))
-    return backtest.portfolio(signals, "run", "symbol")
+@query("signal_grid", f"SELECT * FROM {_signals_sql('entry OR exit')} x")
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.signal_grid(bars_daily(spark, sf_dir), "symbol", FASTS, SLOWS).where("entry or exit")
 
 
-@query("sharpe_grid")
-def _sharpe_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    equity = metrics.with_returns(_portfolio(spark, sf_dir), "run")
-    each = equity.groupBy("run").agg(F.round(metrics.sharpe(F.col("r"), 0.043), 4).alias("sharpe")).select(F.split_part("run", F.lit("/"), F.lit(1)).alias("n_fast"), F.split_part("run", F.lit("/"), F.lit(2)).alias("n_slow"), "sharpe")
-    return each.groupBy("n_fast").pivot("n_slow", [str(s) for s in SLOWS]).agg(F.first("sharpe"))
+SINGLE_SQL = f"""SELECT symbol, n_fast, n_slow, time, held, round(product(change) OVER (w ROWS UNBOUNDED PRECEDING), 6) AS equity FROM (
+  SELECT *, CASE WHEN held = 1 AND was = 0 THEN 0.999 * close / fill WHEN held = 0 AND was = 1 THEN 0.999 * fill / before WHEN held = 1 THEN close / before ELSE 1 END AS change FROM (
+    SELECT *, coalesce(lag(held) OVER w, 0) AS was, lag(close) OVER w AS before FROM (
+      SELECT *, coalesce(last_value(target IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING), 0) AS held FROM (
+        SELECT *, CASE WHEN fill IS NULL THEN NULL WHEN entry THEN 1 WHEN exit THEN 0 END AS target FROM (
+          SELECT *, lead(open) OVER w AS fill FROM {_signals_sql('true')} a WINDOW w AS (PARTITION BY symbol, n_fast, n_slow ORDER BY time)) b) c
+      WINDOW w AS (PARTITION BY symbol, n_fast, n_slow ORDER BY time)) d WINDOW w AS (PARTITION BY symbol, n_fast, n_slow ORDER BY time)) e) f
+  WINDOW w AS (PARTITION BY symbol, n_fast, n_slow ORDER BY time)"""
 
 
-@query("backtest_summary")
-def backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: crossovers, portfolio and statistics for each pair of spans."""
-    return metrics.summary(_portfolio(spark, sf_dir), "run")
+@query("single_stock_grid", SINGLE_SQL)
+def _single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signals = backtest.signal_grid(bars_daily(spark, sf_dir), "symbol", FASTS, SLOWS)
+    return backtest.single_stock(signals, ["symbol", "n_fast", "n_slow"]).withColumn("equity", F.round("equity", 6))
 
 
-@query("html_link_extract", "SELECT DISTINCT page_id, link FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS link FROM pages) x WHERE regexp_matches(link, '(?i)[a-z]$')")
+@query("html_link_extract", "SELECT DISTINCT page_id, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/]*') || href ELSE regexp_replace(url, '[^/]*$', '') || href END AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages) x WHERE regexp_matches(href, '(?i)tion$')")
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.links(table(spark, sf_dir, "pages"), "[a-z]")
+    """The pages link to no files; targets of one ending stand for those."""
+    return text.links(table(spark, sf_dir, "pages"), "tion")
 
 
 @query("regex_filter", "SELECT c_custkey, c_name FROM customer WHERE regexp_full_match(c_name, '.*0+[1-9][1-9]?')")
@@ -291,14 +286,31 @@ def _regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").where(F.col("c_name").rlike("^(?:.*0+[1-9][1-9]?)$")).select("c_custkey", "c_name")
 
 
-@query("extract_date")
+ANNOUNCED = "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 50 <> 0 THEN CAST(o_orderdate AS DATE) END AS effective_date FROM orders"
+
+
+@query("extract_date", ANNOUNCED)
 def _date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.date_in(F.col("text")).alias("effective_date"))
+    return announcements(spark, sf_dir).select("doc_id", text.date_in(F.col("text")).alias("effective_date"))
+
+
+TICKER = "translate(lpad(CAST({} % 100000 AS VARCHAR), 5, '0'), '0123456789', 'ABCDEFGHIJ')"
 
 
-@query("section_carry_forward")
+@query("section_carry_forward", f"SELECT o_orderkey AS doc_id, CAST(2 AS INTEGER) AS no, {TICKER.format('o_orderkey')} AS ticker, 'ADD' AS action FROM orders UNION ALL SELECT o_orderkey, 3, {TICKER.format('o_orderkey + 7')}, 'ADD' FROM orders UNION ALL SELECT o_orderkey, 5, {TICKER.format('o_custkey')}, 'REMOVE' FROM orders")
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.section_changes(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return text.section_changes(announcements(spark, sf_dir), "doc_id", "text")
+
+
+@query("table_changes", f"SELECT o_orderkey AS doc_id, CAST(1 AS INTEGER) AS no, {TICKER.format('o_orderkey')} AS ticker, 'ADD' AS action FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT o_orderkey, 1, {TICKER.format('o_orderkey')}, 'REMOVE' FROM orders WHERE o_orderkey % 4 = 1")
+def _table_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables under an addition, a removal and another heading, and a broken one."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    kind = F.col("doc_id") % 4
+    head = F.array(F.lit("Code"), F.when(kind == 0, "Additions").when(kind == 1, "Removals").otherwise("Names"))
+    row = F.array(F.lit("1."), F.concat(F.lit(" "), ticker_of(F.col("doc_id"))), F.lit("LATER"))
+    cells = F.when(kind < 3, F.array(head, row, F.array(F.lit("Total of the day"))))
+    return text.table_changes(o.withColumn("cells", cells), "doc_id", "cells")
 
 
 @query("json_label", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -326,21 +338,24 @@ def _uptime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("symbol_id", F.datediff(F.lit("2030-01-01").cast("date"), F.to_date("first")).cast("long").alias("days"))
 
 
-@query("disk_ratio_matches")
+@query("disk_ratio_matches", "SELECT symbol_id, kind, min(price) AS free, max(price) AS size, min(price) / nullif(max(price), 0) AS ratio FROM [ticks] GROUP BY symbol_id, kind HAVING min(price) / nullif(max(price), 0) < 0.15")
 def _ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two series matched on their full label set, divided, and filtered."""
-    low = ticks(spark, sf_dir).groupBy("symbol_id", "kind").agg(F.min("price").alias("free"))
-    high = ticks(spark, sf_dir).groupBy("symbol_id", "kind").agg(F.max("price").alias("size"))
-    return low.join(high, ["symbol_id", "kind"]).withColumn("ratio", F.col("free") / F.nullif("size", F.lit(0.0))).where("ratio < 0.15")
+    """Two series matched on their full label set, divided, and filtered: one grouping gives both."""
+    both = ticks(spark, sf_dir).groupBy("symbol_id", "kind").agg(F.min("price").alias("free"), F.max("price").alias("size"))
+    return both.withColumn("ratio", F.col("free") / F.nullif("size", F.lit(0.0))).where("ratio < 0.15")
+
+
+COUNTER = "(SELECT symbol_id, time, CASE WHEN kind = 'signup' THEN 0.0 ELSE price END AS v FROM [ticks])"
+RATE = f"(SELECT symbol_id, time, sum(step) OVER (PARTITION BY symbol_id ORDER BY time RANGE BETWEEN INTERVAL '86399.999999 seconds' PRECEDING AND CURRENT ROW) / 86400.0 AS rate FROM (SELECT symbol_id, time, CASE WHEN p IS NULL THEN 0.0 WHEN v < p THEN v ELSE v - p END AS step FROM (SELECT symbol_id, time, v, lag(v) OVER (PARTITION BY symbol_id ORDER BY time) AS p FROM {COUNTER} a) b) c)"
 
 
-@query("cpu_pct_by_name")
+@query("cpu_pct_by_name", f"SELECT symbol_id, date_trunc('day', time)::TIMESTAMP AS step, round(100 * sum(rate), 6) AS cpu_pct FROM {RATE} r GROUP BY symbol_id, date_trunc('day', time)")
 def _cpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate = monitoring.counter_rate(_counter(spark, sf_dir), ["symbol_id"], 86_400)
-    return rate.groupBy("symbol_id", F.date_trunc("day", "time").alias("step")).agg(F.round(100 * F.sum("rate"), 6).alias("cpu_pct"))
+    return rate.groupBy("symbol_id", F.date_trunc("day", "time").cast("timestamp_ntz").alias("step")).agg(F.round(100 * F.sum("rate"), 6).alias("cpu_pct"))
 
 
-@query("instant_last")
+@query("instant_last", f"SELECT symbol_id, max_by(v, time) AS value FROM {COUNTER} c WHERE time <= TIMESTAMP '2024-01-15 00:00:00' AND time > TIMESTAMP '2024-01-14 00:00:00' GROUP BY symbol_id")
 def _instant(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _counter(spark, sf_dir)
     return monitoring.instant_last(rows, ["symbol_id"], "2024-01-15 00:00:00", minutes=60 * 24)
@@ -352,6 +367,12 @@ def _schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.conform(bars, StructType.fromDDL("time timestamp_ntz, ticker string, open double, high double, low double, close double, volume bigint"))
 
 
-@query("alert_for_5m")
+PENDING_SQL = f"SELECT symbol_id, min(time) AS start, max(time) AS \"end\" FROM (SELECT *, sum(CASE WHEN v < 50 THEN 0 ELSE 1 END) OVER (PARTITION BY symbol_id ORDER BY time) AS span FROM {COUNTER} c) s WHERE v < 50 GROUP BY symbol_id, span HAVING max(time) >= min(time) + INTERVAL 5 MINUTE"
+
+
+@query("alert_for_5m", PENDING_SQL)
 def _alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitoring.pending(_counter(spark, sf_dir), ["symbol_id"], F.col("value") < 50, 5)
+
+
+from tidemark.plans import frames, operations, trading  # noqa: E402, F401  they register their queries

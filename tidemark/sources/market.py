@@ -40,3 +40,24 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 def half_open(time: Column, start: str, end: str) -> Column:
     """Times from the start day to the end day, both whole."""
     return (time >= F.lit(start).cast("timestamp_ntz")) & (time < F.expr(f"timestamp_ntz'{end} 00:00:00' + interval 1 day"))
+
+
+def ticker_of(number: Column) -> Column:
+    """Five letters for a number's last five digits."""
+    return F.translate(F.lpad((number % 100_000).cast("string"), 5, "0"), "0123456789", "ABCDEFGHIJ")
+
+
+def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, text`` of index changes: a line with a date (every 50th doesn't exist), additions, a removal and a closing line."""
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    day = F.when(key % 50 == 0, F.concat(F.lit("31 February "), F.year("o_orderdate"))).otherwise(F.date_format("o_orderdate", "d MMMM yyyy"))
+    lines = [F.concat(F.lit("Effective "), day), F.lit("Additions to the index"), ticker_of(key), ticker_of(key + 7), F.lit("Removals from the index"), ticker_of(F.col("o_custkey")), F.lit("Contact the committee.")]
+    return o.select(key.alias("doc_id"), F.concat_ws("\n", *lines).alias("text"))
+
+
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memberships of traded symbols: from some days after their first trade, every third for twelve days."""
+    first = ticks(spark, sf_dir).groupBy("symbol_id").agg(F.to_date(F.min("time")).alias("first"))
+    entry = F.date_add("first", (F.col("symbol_id") % 7).cast("int"))
+    return first.select(F.lit("traded").alias("index_code"), "symbol_id", entry.alias("entry_date"), F.when(F.col("symbol_id") % 3 == 0, F.date_add(entry, 12)).alias("exit_date"))
