@@ -1,3 +1,7 @@
+import time
+
+import pytest
+
 from tidemark.llm import main_text, queries
 
 ARTICLE = "<article><h1>A walk &amp; a talk</h1><p>We  left\n early <b>in</b> the morning and went along the river for hours.</p><p>Nobody&#39;s boat was out, so the water lay still until the evening came down.</p></article>"
@@ -55,6 +59,27 @@ def test_query_and_edges(spark, sf):
     assert main_text.extract(pages.where("1 = 0")).count() == 0
 
 
+def test_names_that_tell_nothing():
+    """Classes of no known kind: what is main text shows in the tags and the amounts of text and links."""
+    links = "".join(f'<li><a href="/{k}">Go {k}</a></li>' for k in range(8))
+    page = f'<body><div class="qx17"><ul>{links}</ul></div><div class="zz9 k-3">{ARTICLE[9:-10]}</div><div class="qx18"><ul>{links}</ul></div>{FOOT}</body>'
+    assert texts([page]) == [WANTED]
+
+
+@pytest.mark.parametrize("page", ["<a " * 200_000, "<div>" * 200_000 + "</p>" * 200_000, "<b>" * 100_000 + "<li></li>" * 100_000, "<td><div>" + "<b>" * 100_000 + "<td></td>" * 100_000, '<a x="' * 200_000, "<" * 300_000, "<svg><foreignobject>" + "<g>" * 100_000 + "<b>" * 100_000])
+def test_broken_pages_are_read_in_linear_time(page):
+    began = time.process_time()
+    main_text.parse(page)
+    assert time.process_time() - began < 15
+
+
+def test_tags_as_browsers_read_them():
+    read = lambda page: [(n.tag, sorted(n.words)) for n in main_text.parse(page)[1:]]
+    assert read("<div/><p>a</p>") == [("div", []), ("p", [])] and main_text.parse("<div/><p>a</p>")[2].parent.tag == "div"
+    assert read('<div class="a > b" id=c><p data-x=don\'t class=d>x') == [("div", ["a", "b", "c"]), ("p", ["d"])]
+    assert [n.children for n in main_text.parse("a < b and 1 <2 <!-- no --> c<!x> d")] == [["a < b and 1 <2 ", " c", " d"]]
+
+
 def test_elements_without_text_end_where_browsers_end_them():
     body = f"<body>{NAV}{ARTICLE}{FOOT}</body>"
     whole = f"<html><head><title>T</title></head>{body}</html>"

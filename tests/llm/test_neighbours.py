@@ -31,8 +31,7 @@ def test_recall_on_the_table(spark):
     check(queries.op5_neighbours(spark, sf).collect(), exact([r for r in rows if r[1] and all(v is not None and np.isfinite(v) for v in r[1]) and any(r[1])], 20), 0.9)
 
 
-def test_recall_of_descent_and_search(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "LEAF", 200)
+def test_recall_of_descent_and_search(spark):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((40, 24))
     x = (centres[rng.integers(0, 40, 3000)] + 0.4 * rng.standard_normal((3000, 24))) * rng.uniform(0.8, 1.2, (3000, 1))
@@ -43,6 +42,8 @@ def test_recall_of_descent_and_search(spark, monkeypatch):
 
 def test_edges(spark):
     bad = [(20, None), (21, []), (22, [0.0, 0.0]), (23, [None, 1.0]), (24, [float("nan"), 1.0]), (25, [float("inf"), 1.0]), (26, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
+    huge = spark.createDataFrame([(0, [1e200, 0.0]), (1, [1e190, 1e200]), (2, [2e199, 0.0])], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in neighbours.nearest(huge, lambda i: i % 20 == 0).orderBy("rank").collect()] == [1, 2]
     good = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.0]), (2, [0.5, 0.0]), (40, [1.0, 0.0])]
     table = spark.createDataFrame([(*r, "x") for r in bad + good], "vec_id long, embedding array<double>, score string")
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.nearest(table, lambda i: i % 20 == 0).collect())

@@ -1,7 +1,8 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, decoded over the tree.
 
 Every element of a page that isn't inline is a node with features: its tag,
-words of its class, id and role, depth, place among its siblings, amounts and
+the words of its class, id and role (hashed to ``BUCKETS`` columns, so that
+what they tell is learned), depth, place among its siblings, amounts and
 densities of text, links and tags in its subtree, and its ancestors' kinds.
 Boosted trees give each node the odds of being on the way to or inside the
 main text. Decoding picks the labels of highest total likelihood under which
@@ -9,8 +10,10 @@ no node is main text below one that isn't, from the leaves up.
 
 The pages come without labels, so the trees are trained on pages made here by
 a seeded generator (``TRAINING_PAGES`` of them): articles between menus,
-headers, adverts, notices, forms, comments and footers in varying mark-up. Tasks get the trained trees, a few thousand numbers, by
-closure.
+headers, adverts, notices, forms, comments and footers in varying mark-up and
+under usual, other or no names. Tasks get the trained trees, a few thousand
+numbers, by closure. A page is read once from front to end, in time
+proportional to its length however it is nested or broken.
 
 Defined results: null and empty pages and pages without main text give an
 empty text; unclosed and stray tags are taken as browsers do; scripts, styles
@@ -23,8 +26,10 @@ import html as entities
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 TRAINING_PAGES, TREES, DEPTH, RATE, BINS, SEED = 400, 60, 3, 0.25, 16, 3
+BUCKETS = 96
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
+#: A tag from behind its name on; a quote counts behind an equals sign only.
+REST = re.compile(r"((?:[^>=\"']++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?|[\"'])*+)>")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[a-z]+")
 #: Fixed values of the mark-up language.
@@ -45,10 +53,9 @@ HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "titl
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 INLINE = {"a", "b", "i", "u", "em", "strong", "span", "small", "sub", "sup", "code", "kbd", "abbr", "cite", "q", "mark", "font", "time", "label", "s", "del", "ins", "tt", "var", "samp", "big", "bdi", "bdo", "data", "dfn"}
 KINDS = {"nav": 1, "menu": 1, "header": 2, "footer": 3, "aside": 4, "form": 5, "button": 5, "select": 5, "article": 6, "main": 6, "section": 7, "div": 8, "p": 9, "blockquote": 9, "pre": 9, "h1": 10, "h2": 10, "h3": 10, "h4": 10, "h5": 10, "h6": 10, "ul": 11, "ol": 11, "dl": 11, "li": 12, "dt": 12, "dd": 12, "table": 13, "tr": 13, "td": 13, "th": 13, "figure": 14, "body": 15, "html": 15}
-BOILER = {"nav", "navbar", "navigation", "menu", "header", "footer", "sidebar", "ad", "ads", "advert", "advertisement", "banner", "promo", "sponsor", "sponsored", "cookie", "cookies", "consent", "notice", "alert", "popup", "modal", "comment", "comments", "reply", "share", "social", "related", "widget", "newsletter", "subscribe", "breadcrumb", "breadcrumbs", "toolbar", "login", "search", "form", "copyright", "legal", "disclaimer", "pagination", "masthead"}
-CONTENT = {"article", "content", "main", "post", "entry", "body", "story", "text", "page", "prose"}
 #: An open element of the first kind ends where one of the second begins.
 CLOSES = {"p": {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "aside", "nav", "header", "footer", "form", "blockquote", "pre", "figure", "main"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+CLOSED_BY = {tag: [name for name, ends in CLOSES.items() if tag in ends] for tag in set().union(*CLOSES.values())}
 #: Elements that end a drawing, and those in which they don't.
 BREAKS = {"b", "big", "blockquote", "body", "br", "center", "code", "dd", "div", "dl", "dt", "em", "embed", "h1", "h2", "h3", "h4", "h5", "h6", "head", "hr", "i", "img", "li", "menu", "meta", "nobr", "ol", "p", "pre", "s", "small", "span", "strong", "strike", "sub", "sup", "table", "tt", "u", "ul", "var", "article", "aside", "footer", "header", "main", "nav", "section"}
 HOSTS = {"foreignobject", "desc"}
@@ -66,86 +73,146 @@ class Node:
         self.text = 0
 
 
+class _Open:
+    """The open elements, innermost last, with counts of their names."""
+
+    def __init__(self, root: Node):
+        self.stack, self.blocks, self.count, self.links = [("html", root)], [0], Counter(), 0
+
+    def push(self, tag: str, node: Node) -> None:
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, node))
+        self.count[tag] += 1
+        self.links += tag == "a"
+
+    def cut(self, k: int) -> bool:
+        """Close all from place ``k`` on; whether one of them was a block."""
+        block = False
+        while len(self.stack) > k:
+            tag, _ = self.stack.pop()
+            self.count[tag] -= 1
+            self.links -= tag == "a"
+            if tag not in INLINE:
+                self.blocks.pop()
+                block = True
+        return block
+
+    def find(self, tag: str) -> int:
+        """The place of the innermost open ``tag``, 0 if there is none."""
+        if not self.count[tag]:
+            return 0
+        k = len(self.stack) - 1
+        while self.stack[k][0] != tag:
+            k -= 1
+        return k
+
+
+def _pieces(page: str) -> Iterator[tuple[str, bool, str, str, int]]:
+    """The text before each tag, whether that is an end tag, its name (empty: none), attributes and end."""
+    at, size = 0, len(page)
+    while at < size:
+        begin = at
+        mark = page.find("<", at)
+        while mark >= 0 and not (page[mark + 1 : mark + 2] in ("!", "?") or NAME.match(page, mark + 1 + (page[mark + 1 : mark + 2] == "/"))):
+            mark = page.find("<", mark + 1)
+        if mark < 0:
+            yield page[begin:], False, "", "", size
+            return
+        text = page[begin:mark]
+        if page.startswith("<!--", mark):
+            end = page.find("-->", mark + 4)
+            at = end + 3 if end >= 0 else size
+            yield text, False, "", "", at
+        elif page[mark + 1] in "!?":
+            end = page.find(">", mark)
+            at = end + 1 if end >= 0 else size
+            yield text, False, "", "", at
+        else:
+            closing = page[mark + 1] == "/"
+            name = NAME.match(page, mark + 1 + closing)
+            rest = REST.match(page, name.end())
+            # A tag that never ends takes the rest of the page.
+            at = rest.end() if rest else size
+            moved = yield text, closing, name[0].lower() if rest else "", rest[1] if rest else "", at
+            at = moved or at
+
+
 def parse(page: str) -> list[Node]:
     """The nodes of a page, parents first."""
     root = Node("html", None, "")
     # ``quiet``: the place on the stack of the outermost open element of QUIET.
-    nodes, stack, at, link, quiet = [root], [("html", root)], 0, 0, 0
+    nodes, open_, quiet = [root], _Open(root), 0
+    stack = open_.stack
+    pieces, moved = _pieces(page), None
     while True:
-        found = TOKEN.search(page, at)
-        piece = page[at : found.start() if found else len(page)]
-        node = stack[-1][1]
+        try:
+            piece, closing, tag, attributes, at = pieces.send(moved)
+        except StopIteration:
+            return nodes
+        moved = None
         if quiet and len(stack) == quiet + 1 and stack[quiet][0] == "head" and piece.strip():
-            stack.pop()
+            open_.cut(quiet)
             quiet = 0
         if piece and not quiet:
+            node = stack[-1][1]
             own = entities.unescape(piece)
             node.children.append(own)
             size = len(own.strip())
             node.text += size
-            node.links += size if link else 0
-        if not found:
-            return nodes
-        at, tag = found.end(), (found[2] or "").lower()
+            node.links += size if open_.links else 0
         if not tag:
             continue
-        if found[1]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
+        if closing:
+            k = open_.find(tag)
             if quiet and k >= quiet:
-                link -= sum(t == "a" for t, _ in stack[k:])
-                del stack[k:]
+                open_.cut(k)
                 quiet = quiet if k > quiet else 0
             elif k:
                 quiet = 0
-                link -= sum(t == "a" for t, _ in stack[k:])
-                if any(t not in INLINE for t, _ in stack[k:]):
-                    stack[k - 1][1].children.append(None)
-                del stack[k:]
+                if open_.cut(k):
+                    stack[-1][1].children.append(None)
             continue
         if quiet:
             opened = stack[quiet][0]
-            ends = tag == "body" or tag not in HEAD and len(stack) == quiet + 1 if opened == "head" else opened == "svg" and tag in BREAKS and not any(t in HOSTS for t, _ in stack[quiet:])
+            ends = tag == "body" or tag not in HEAD and len(stack) == quiet + 1 if opened == "head" else opened == "svg" and tag in BREAKS and not any(open_.count[t] for t in HOSTS)
             if ends:
-                link -= sum(t == "a" for t, _ in stack[quiet:])
-                del stack[quiet:]
+                open_.cut(quiet)
                 quiet = 0
-        if tag in RAW and not (quiet and found[3].endswith("/")):
+        if tag in RAW and not (quiet and attributes.endswith("/")):
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            moved = close.end() if close else len(page)
             continue
+        node = stack[-1][1]
         if quiet or tag in QUIET:
-            if tag in VOID or found[3].endswith("/") or tag == "head" and (root.kids or root.text):
+            if tag in VOID or attributes.endswith("/") or tag == "head" and (root.kids or root.text):
                 continue
             quiet = quiet or len(stack)
-            link += tag == "a"
-            stack.append((tag, node))
+            open_.push(tag, node)
             continue
         node.tags += 1
         if tag in VOID:
             node.children.append(None)
             continue
-        for k in range(len(stack) - 1, 0, -1):
-            if tag in CLOSES.get(stack[k][0], ()):
-                link -= sum(t == "a" for t, _ in stack[k:])
-                del stack[k:]
-                break
-            if stack[k][0] not in INLINE and stack[k][0] not in CLOSES:
-                break
-        if found[3].endswith("/"):
-            continue
+        if any(open_.count[name] for name in CLOSED_BY.get(tag, ())):
+            for k in reversed(open_.blocks):
+                if k and tag in CLOSES.get(stack[k][0], ()):
+                    open_.cut(k)
+                    break
+                if stack[k][0] not in CLOSES:
+                    break
         parent = stack[-1][1]
         if tag in INLINE:
-            link += tag == "a"
-            stack.append((tag, parent))
+            open_.push(tag, parent)
         elif tag in ("html", "body") and parent is root and not parent.kids:
             continue
         else:
-            child = Node(tag, parent, found[3])
+            child = Node(tag, parent, attributes)
             child.order = len(parent.kids)
             parent.kids.append(child)
             parent.children.append(child)
             nodes.append(child)
-            stack.append((tag, child))
+            open_.push(tag, child)
 
 
 def features(nodes: list[Node]) -> np.ndarray:
@@ -154,9 +221,13 @@ def features(nodes: list[Node]) -> np.ndarray:
     n = len(nodes)
     text, links, tags = (np.array([getattr(x, f) for x in nodes], dtype=float) for f in ("text", "links", "tags"))
     paragraphs = np.array([x.tag == "p" for x in nodes], dtype=float)
-    count, before, up_boiler, up_content = np.ones(n), np.zeros(n), np.zeros(n), np.zeros(n)
-    own_boiler = np.array([len(x.words & BOILER) + (KINDS.get(x.tag, 0) in (1, 2, 3, 4, 5)) for x in nodes], dtype=float)
-    own_content = np.array([len(x.words & CONTENT) + (KINDS.get(x.tag, 0) == 6) for x in nodes], dtype=float)
+    count, before, up_bad, up_good = np.ones(n), np.zeros(n), np.zeros(n), np.zeros(n)
+    bad = np.array([KINDS.get(x.tag, 0) in (1, 2, 3, 4, 5) for x in nodes], dtype=float)
+    good = np.array([KINDS.get(x.tag, 0) == 6 for x in nodes], dtype=float)
+    hashed = np.zeros((n, BUCKETS))
+    for k, x in enumerate(nodes):
+        for word in x.words:
+            hashed[k, crc32(word.encode()) % BUCKETS] = 1
     before[1:] = np.cumsum(text)[:-1]
     parents = [index[id(x.parent)] if x.parent else 0 for x in nodes]
     for k in range(n - 1, 0, -1):
@@ -165,13 +236,13 @@ def features(nodes: list[Node]) -> np.ndarray:
             values[p] += values[k]
     for k in range(1, n):
         p = parents[k]
-        up_boiler[k], up_content[k] = up_boiler[p] + own_boiler[p], up_content[p] + own_content[p]
+        up_bad[k], up_good[k] = up_bad[p] + bad[p], up_good[p] + good[p]
     whole = max(text[0], 1)
     siblings = np.array([len(x.parent.kids) if x.parent else 1 for x in nodes], dtype=float)
     order = np.array([x.order for x in nodes], dtype=float)
     kind = np.array([KINDS.get(x.tag, 0) for x in nodes], dtype=float)
     return np.column_stack([
-        kind, own_boiler, own_content, up_boiler, up_content, np.array([x.depth for x in nodes]), np.log1p(text), links / np.maximum(text, 1), tags / np.maximum(text, 1),
+        hashed, kind, up_bad, up_good, np.array([x.depth for x in nodes]), np.log1p(text), links / np.maximum(text, 1), tags / np.maximum(text, 1),
         text / whole, np.log1p(count), paragraphs, siblings, order / np.maximum(siblings - 1, 1), before / whole, kind[parents], text / np.maximum(text[parents], 1), text / count,
     ])
 
@@ -182,9 +253,14 @@ def _made(rng: random.Random) -> tuple[str, str]:
     def prose(n: int, first: str) -> str:
         return " ".join(first + "".join(rng.choices("aeinorst", k=rng.randint(1, 9))) for _ in range(n)) + rng.choice((".", ".", ""))
 
+    def other() -> str:
+        """A name that tells nothing."""
+        return "".join(rng.choices("bcdfghklp", k=rng.randint(2, 6)))
+
     def named(tag: str, names: list[str], body: str) -> str:
         style = rng.random()
-        return f'<{tag} class="{rng.choice(names)}">{body}</{tag}>' if style < 0.6 else f'<{tag} id="{rng.choice(names)}">{body}</{tag}>' if style < 0.8 else f"<{tag}>{body}</{tag}>"
+        name = rng.choice(names) if rng.random() < 0.8 else other()
+        return f'<{tag} class="{name}">{body}</{tag}>' if style < 0.6 else f'<{tag} id="{name}">{body}</{tag}>' if style < 0.8 else f"<{tag}>{body}</{tag}>"
 
     def list_of_links() -> str:
         return "<ul>" + "".join(f'<li><a href="/x">{prose(rng.randint(1, 3), "m")}</a></li>' for _ in range(rng.randint(2, 9))) + "</ul>"
@@ -195,16 +271,16 @@ def _made(rng: random.Random) -> tuple[str, str]:
         if kind == 0:
             return named(rng.choice(("nav", "div")), ["nav", "menu", "breadcrumb"], list_of_links()) if rng.random() < 0.9 else f"<nav>{list_of_links()}</nav>"
         if kind in (1, 2):
-            return f'<div class="{rng.choice(("ad", "ads", "advert", "banner", "promo", "sponsored"))}">{long}</div>'
+            return f'<div class="{rng.choice(("ad", "ads", "advert", "advertisement", "banner", "promo", "sponsor", "sponsored"))}">{long}</div>'
         if kind == 3:
-            return f'<{(t := rng.choice(("div", "section")))} class="{rng.choice(("comments", "comment", "reply"))}">' + "".join(f"<p>{prose(rng.randint(3, 40), 'm')}</p>" for _ in range(rng.randint(1, 5))) + f"</{t}>"
+            return f'<{(t := rng.choice(("div", "section")))} class="{rng.choice(("comments", "comment", "reply", "discussion", "responses"))}">' + "".join(f"<p>{prose(rng.randint(3, 40), 'm')}</p>" for _ in range(rng.randint(1, 5))) + f"</{t}>"
         if kind == 4:
             return f'<aside>{list_of_links() if rng.random() < 0.5 else f"<p>{long}</p>"}</aside>' if rng.random() < 0.6 else f'<div class="sidebar">{long}{list_of_links()}</div>'
         if kind == 5:
             return f'<form action="/s"><label>{prose(2, "m")}</label><input name="q"><button>{prose(1, "m")}</button></form>'
         if kind == 6:
-            return f'<div class="{rng.choice(("cookie", "notice", "alert", "newsletter", "popup"))}"><p>{long}</p></div>'
-        return f'<div class="{rng.choice(("share", "social", "related", "widget"))}">{list_of_links()}</div>'
+            return f'<div class="{rng.choice(("cookie", "cookies", "consent", "notice", "alert", "newsletter", "subscribe", "popup", "modal"))}"><p>{long}</p></div>'
+        return f'<div class="{rng.choice(("share", "social", "related", "widget", "toolbar", "pagination", "login"))}">{list_of_links()}</div>'
 
     body = []
     for k in range(rng.choice((1, 1, 2, 4, 8, 14))):
@@ -255,6 +331,7 @@ def _training() -> tuple[np.ndarray, np.ndarray]:
 def _grow(binned: np.ndarray, gradient: np.ndarray, weight: np.ndarray) -> list[tuple[int, int]]:
     """A tree whose nodes of one depth are split in turn: (feature, bin) by heap place, then leaf values."""
     n, width = binned.shape
+    words = binned[:, :BUCKETS].astype(float)
     place, splits = np.zeros(n, dtype=np.int64), []
     for level in range(DEPTH):
         for leaf in range(1 << level):
@@ -263,7 +340,11 @@ def _grow(binned: np.ndarray, gradient: np.ndarray, weight: np.ndarray) -> list[
             if here.any():
                 g, w = gradient[here], weight[here]
                 whole = g.sum() ** 2 / (w.sum() + 1)
-                for f in range(width):
+                # A word is there or not: one split, and all words' sums at once.
+                right_g, right_w = (gradient * here) @ words, (weight * here) @ words
+                gains = (g.sum() - right_g) ** 2 / (w.sum() - right_w + 1) + right_g**2 / (right_w + 1) - whole
+                best, chosen = max((best, chosen), (float(gains.max()), (int(np.argmax(gains)), 0)))
+                for f in range(BUCKETS, width):
                     gs = np.cumsum(np.bincount(binned[here, f], g, BINS + 1))
                     ws = np.cumsum(np.bincount(binned[here, f], w, BINS + 1))
                     gain = gs**2 / (ws + 1) + (gs[-1] - gs) ** 2 / (ws[-1] - ws + 1) - whole
@@ -280,7 +361,7 @@ def _grow(binned: np.ndarray, gradient: np.ndarray, weight: np.ndarray) -> list[
 def trained() -> tuple:
     """Bin edges, a base and the trees."""
     x, y = _training()
-    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
+    edges = [np.array([0.5]) if f < BUCKETS else np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.column_stack([np.searchsorted(e, x[:, f], side="right") for f, e in enumerate(edges)])
     base = math.log(y.mean() / (1 - y.mean()))
     score, trees = np.full(len(y), base), []

@@ -3,13 +3,14 @@
 Equal vectors are one node. To make the largest inner product a nearest
 neighbour, a component is added that gives all nodes the same norm; a query
 has zero there. The graph starts from random-projection trees: nodes sorted by
-the signs of some projections are cut into leaves, and each node links to its
-best in its leaf. Then rounds of NN-descent: every node gathers its
+the signs of some projections are cut into small leaves, and each node links to
+its best in its leaf. Then rounds of NN-descent: every node gathers its
 neighbours and a sample of those it is a neighbour of, compares them with each
-other, and tells each of better ones; joins bring the vectors. A query starts
-at its own node; rounds of joins expand the best nodes it hasn't expanded,
-until none of the best ``BEAM`` is left. Graph and search use half-precision
-vectors; the result is ranked again in double precision on the original ones.
+other, and tells each of better ones; joins bring the vectors. They end when a
+round changes less than ``STILL`` of the links. A query starts at its own node;
+rounds of joins expand the best nodes it hasn't expanded, until none of the
+best ``BEAM`` is left. Graph and search use half-precision vectors; the result
+is ranked again in double precision on the original ones.
 
 Defined results: vectors that are null, empty, zero, or hold null or
 non-finite components take no part, nor do those of another length than most;
@@ -19,7 +20,6 @@ all are returned.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import Kept, keep, shared_dir
+from tidemark.llm.storage import Bucketed, Kept, keep
 
 DEGREE, REVERSE, TELL = 32, 16, 6
-TREES, LEAF, LEAF_LINKS, LEAF_ROWS = 8, 4096, 16, 16_384
-DESCENTS = 2
-BEAM, EXPAND, SEARCHES = 160, 48, 10
+TREES, LEAF, LEAF_LINKS, LEAF_ROWS = 8, 256, 16, 16_384
+#: The share of links that may still change when descent ends.
+STILL = 0.03
+BEAM, EXPAND = 256, 64
 #: Nodes for each bucket of the table that searches join with.
 BUCKET_NODES = 2048
 SEED = 11
@@ -58,14 +59,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(values, dtype=np.float64).reshape(len(column), -1)
 
 
-def _halves(nodes: DataFrame, norm: float) -> DataFrame:
-    """``node`` and its vector, made of norm ``norm``, as half-precision bytes."""
+def _halves(nodes: DataFrame, largest: float, norm: float) -> DataFrame:
+    """``node`` and its vector, divided by ``largest`` and made of norm ``norm``, as half-precision bytes."""
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column(1)) / norm
+            x = _matrix(batch.column(1)) / largest / norm
             x = np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1, keepdims=True)))]).astype("<f2")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "vec"])
 
@@ -90,16 +91,12 @@ def _best(edges: DataFrame, degree: int) -> DataFrame:
 
 
 def _in_leaves(nodes: DataFrame, count: int) -> DataFrame:
-    bits = max(0, (count // LEAF).bit_length())
-    if count <= LEAF:
-        trees = 1
-    else:
-        trees = TREES
+    bits = (count // LEAF).bit_length()
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _vectors(batch.column(1).to_pylist()) if batch.num_rows else np.empty((0, 1), np.float32)
-            for tree in range(trees):
+            for tree in range(TREES):
                 rng = np.random.default_rng([SEED, tree])
                 planes = rng.standard_normal((x.shape[1], bits + 1)).astype(np.float32)
                 at = x @ planes
@@ -111,7 +108,7 @@ def _in_leaves(nodes: DataFrame, count: int) -> DataFrame:
         x, names = _vectors(blobs), np.array(ids)
         scores = x @ x.T
         np.fill_diagonal(scores, -np.inf)
-        k = min(LEAF_LINKS if trees > 1 else DEGREE, len(ids) - 1)
+        k = min(LEAF_LINKS, len(ids) - 1)
         if not k:
             return _edges([], [], [])
         top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
@@ -131,7 +128,7 @@ def _in_leaves(nodes: DataFrame, count: int) -> DataFrame:
             yield leaf(ids, blobs)
 
     dealt = nodes.mapInArrow(coded, "tree int, code long, at float, node long, vec binary")
-    wide = dealt.repartitionByRange(max(1, count * trees // LEAF_ROWS), "tree", "code", "at", "node").sortWithinPartitions("tree", "code", "at", "node")
+    wide = dealt.repartitionByRange(max(1, count * TREES // LEAF_ROWS), "tree", "code", "at", "node").sortWithinPartitions("tree", "code", "at", "node")
     return wide.mapInArrow(linked, EDGES)
 
 
@@ -172,18 +169,21 @@ def _descent(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def neighbour_graph(nodes: DataFrame, count: int) -> DataFrame:
     """The ``DEGREE`` best links (a, b, s) found of each node."""
     now = Kept(_best(_in_leaves(nodes, count), DEGREE), "graph")
-    if count > LEAF:
-        for _ in range(DESCENTS):
-            then = Kept(_best(now.df.unionByName(_descent(now.df, nodes)), DEGREE), "graph")
-            now.drop()
-            now = then
+    links = now.df.count()
+    while links:
+        then = Kept(_best(now.df.unionByName(_descent(now.df, nodes)), DEGREE), "graph")
+        fresh, links = then.df.join(now.df, ["a", "b"], "left_anti").count(), then.df.count()
+        now.drop()
+        now = then
+        if fresh < STILL * links:
+            break
     return now.df
 
 
 POOL = "q long, vec binary, pool array<long>, scores array<float>, done array<boolean>"
 
 
-def _adjacency(edges: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
+def _adjacency(edges: DataFrame, nodes: DataFrame, count: int) -> Bucketed:
     """Each node with its neighbours' ids and vectors, bucketed by node so that searches don't shuffle it."""
     lists = _around(edges).join(nodes.select(F.col("node").alias("b"), "vec"), "b").groupBy("a").agg(F.collect_list(F.struct("b", "vec")).alias("near"))
 
@@ -195,12 +195,8 @@ def _adjacency(edges: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
                 blobs.append(b"".join(x["vec"] for x in near))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64())), pa.array(blobs, pa.binary())], names=["a", "ids", "vecs"])
 
-    spark, name = edges.sparkSession, f"around_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{name}"
     buckets = max(1, count // BUCKET_NODES)
-    table = lists.mapInArrow(joined, "a long, ids array<long>, vecs binary").repartition(buckets, "a")
-    table.write.bucketBy(buckets, "a").sortBy("a").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    return Bucketed(lists.mapInArrow(joined, "a long, ids array<long>, vecs binary").repartition(buckets, "a"), "a", "around", buckets)
 
 
 def _search_round(state: DataFrame, around: DataFrame) -> DataFrame:
@@ -246,12 +242,11 @@ def graph_search(queries: DataFrame, edges: DataFrame, nodes: DataFrame, count:
     around = _adjacency(edges, nodes, count)
     start = queries.select("q", "vec", F.array("q").alias("pool"), F.array(F.lit(9.0).cast("float")).alias("scores"), F.array(F.lit(False)).alias("done"))
     now = Kept(start, "search")
-    for _ in range(SEARCHES):
-        then = Kept(_search_round(now.df, around), "search")
+    while not now.df.where(F.exists("done", lambda d: ~d)).isEmpty():
+        then = Kept(_search_round(now.df, around.df), "search")
         now.drop()
         now = then
-        if now.df.where(F.exists("done", lambda d: ~d)).isEmpty():
-            break
+    around.drop()
     return now.df.select("q", F.explode("pool").alias("node"))
 
 
@@ -259,9 +254,11 @@ def nearest(df: DataFrame, is_query, *, vec_id: str = "vec_id", vector: str = "e
     """``query_id, rank, vec_id, score`` of the nearest found of each row for which ``is_query(id)`` holds."""
     rows = keep(usable(df, vec_id, vector), "vectors")
     groups = keep(classes(rows, results), "nodes")
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    # Components are taken relative to the largest one, so that no square overflows.
+    largest = groups.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 1.0
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / largest) * (x / largest))
     count, norm = groups.agg(F.count("*"), F.max(F.sqrt(square))).first()
-    nodes = keep(_halves(groups, norm or 1.0), "halves")
+    nodes = keep(_halves(groups, largest, norm or 1.0), "halves")
     edges = neighbour_graph(nodes, count)
     asked = keep(rows.where(is_query(F.col("id"))).select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), F.col("v")).alias("h2")).distinct().join(groups.select("h1", "h2", "node"), ["h1", "h2"]).select("id", "node"), "asked")
 
