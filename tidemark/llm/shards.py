@@ -13,9 +13,10 @@ which turns them into a table of (cell, ranks from, ranks to, shard, first
 slot) that is joined back by broadcast; its size is bounded by ``cells`` plus
 ``shards`` squared.
 
-Defined results: a null key has a ring position of its own; rows with equal
-keys are told apart by size and checksum and, if these are equal too, are
-interchangeable; an empty table gives no rows. Other columns are not read.
+Defined results: rows without a key take the ring position of their tie
+columns, so that they are spread; rows with equal keys are told apart by these
+and, if they are equal too, are interchangeable; an empty table gives no rows.
+Other columns are not read; ``shard`` and ``slot`` are replaced.
 """
 
 from __future__ import annotations
@@ -90,8 +91,8 @@ def shard_by_ring(df: DataFrame, key: Column, *, shards: int = 16, vnodes: int =
     ``key`` decides the ring position; ``tie`` orders rows of equal position.
     """
     spark = df.sparkSession
-    hashed = F.xxhash64(F.lit("ring"), key)
-    placed = df.withColumn("_at", hashed).withColumn("_cell", F.pmod(F.col("_at"), F.lit(CELLS)).cast("int"))
+    hashed = F.when(key.isNull(), F.xxhash64(F.lit("ring"), *(tie or []))).otherwise(F.xxhash64(F.lit("ring"), key))
+    placed = df.drop("shard", "slot").withColumn("_at", hashed).withColumn("_cell", F.pmod(F.col("_at"), F.lit(CELLS)).cast("int"))
     counts = {r["_cell"]: r["n"] for r in placed.groupBy("_cell").agg(F.count("*").alias("n")).collect()}
     owned = ring(shards, vnodes)
     runs = place(counts, owned, capacities(sum(counts.values()), shards, slack))
