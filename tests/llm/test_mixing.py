@@ -33,4 +33,7 @@ def test_edges(edge, nothing):
     found = mixing.mix(edge.withColumnRenamed("shard", "epoch"), ["lang", "source"], {}, share=2.0, epochs=2)
     assert found.columns == ["doc_id", "text", "lang", "source", "n_chars", "tokens", "epoch"]
     assert found.count() == 2 * edge.count()
+    light = mixing.mix(edge.drop("shard"), ["lang", "source"], {}, share=1.1, epochs=2, with_text=False)
+    whole = mixing.mix(edge.drop("shard"), ["lang", "source"], {}, share=1.1, epochs=2).drop("text")
+    assert light.columns == whole.columns and sorted(map(str, light.collect())) == sorted(map(str, whole.collect()))
     assert mixing.mix(nothing, ["lang", "source"], {}, share=0.8).count() == 0

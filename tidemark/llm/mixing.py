@@ -77,10 +77,18 @@ def leaf_targets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[s
     return nodes.select(*levels, "have", F.col("budget").alias("target"))
 
 
-def mix(df: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], *, share: float, epochs: int = 2, seed: int = 1, other: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` chosen, once for each ``epoch`` (from 0) they are chosen in, with their ``tokens``."""
+def mix(df: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], *, share: float, epochs: int = 2, seed: int = 1, other: int = 1, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+    """The rows of ``df`` chosen, once for each ``epoch`` (from 0) they are chosen in, with their ``tokens``.
+
+    Without the text in the result the texts are read once only.
+    """
     rows = df.drop("tokens", "epoch").withColumn("tokens", tokens(F.col(text)))
-    light = keep(rows.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), *levels, "tokens"), "tokens")
+    names = [F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), *levels, "tokens"]
+    if with_text:
+        light = keep(rows.select(*names), "tokens")
+    else:
+        rows = keep(rows.drop(text), "tokens")
+        light = rows.select(*names)
     leaves = light.groupBy(*levels).agg(F.sum("tokens").alias("have"))
     targets = leaf_targets(leaves, levels, weights, share=share, epochs=epochs, other=other)
     full = F.when(F.col("have") > 0, F.floor(F.col("target") / F.col("have"))).otherwise(F.lit(0)).cast("int")
@@ -101,7 +109,8 @@ def mix(df: DataFrame, levels: list[str], weights: dict[str, dict[str, int]], *,
     running = cells.withColumn("upto", F.sum("n").over(Window.partitionBy(*levels).orderBy("cell")))
     edge = running.where(F.col("upto") > F.col("rest")).groupBy(*levels).agg(F.min("cell").alias("edge"), F.min_by(F.col("upto") - F.col("n"), "cell").alias("base"))
     within = with_leaf(placed, edge, extra=F.col("cell") == F.col("edge"))
-    inside = within.withColumn("upto", F.col("base") + F.sum("tokens").over(Window.partitionBy(*levels).orderBy("at")))
+    # Rows of equal id stand at one place, which is one row of the window however many they are.
+    inside = within.groupBy(*levels, "at", "rest", "base", "edge").agg(F.sum("tokens").alias("tokens")).withColumn("upto", F.col("base") + F.sum("tokens").over(Window.partitionBy(*levels).orderBy("at")))
     cuts = inside.groupBy(*levels).agg(F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("at"))), F.min("edge")).alias("cut"))
     table = plan.select(*levels, "full").join(cuts.select(*[F.col(c).alias(f"_{c}") for c in levels], "cut"), reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in levels]), "left").drop(*[f"_{c}" for c in levels])
     cut = keep(table.withColumn("cut", F.coalesce("cut", F.lit("g"))), "cuts")

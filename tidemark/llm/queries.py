@@ -68,7 +68,7 @@ SHARE, EPOCHS, MIX_SEED = 0.8, 2, 1
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents chosen to the weights of the domain, language and source tree, for each epoch."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").withColumn("domain", domain(F.col("source")))
-    found = mixing.mix(docs, ["domain", "lang", "source"], WEIGHTS, share=SHARE, epochs=EPOCHS, seed=MIX_SEED)
+    found = mixing.mix(docs, ["domain", "lang", "source"], WEIGHTS, share=SHARE, epochs=EPOCHS, seed=MIX_SEED, with_text=False)
     return found.select("doc_id", "domain", "lang", "source", "tokens", "epoch")
 
 
