@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import Bucketed, Kept, keep
+from tidemark.llm.storage import Bucketed, Kept, Working, keep
 
 DEGREE, REVERSE, TELL = 32, 16, 6
 TREES, LEAF, LEAF_LINKS, LEAF_ROWS = 8, 256, 16, 16_384
@@ -252,26 +252,27 @@ def graph_search(queries: DataFrame, edges: DataFrame, nodes: DataFrame, count:
 
 def nearest(df: DataFrame, is_query, *, vec_id: str = "vec_id", vector: str = "embedding", results: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the nearest found of each row for which ``is_query(id)`` holds."""
-    rows = keep(usable(df, vec_id, vector), "vectors")
-    groups = keep(classes(rows, results), "nodes")
-    # Components are taken relative to the largest one, so that no square overflows.
-    largest = groups.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 1.0
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / largest) * (x / largest))
-    count, norm = groups.agg(F.count("*"), F.max(F.sqrt(square))).first()
-    nodes = keep(_halves(groups, largest, norm or 1.0), "halves")
-    edges = neighbour_graph(nodes, count)
-    asked = keep(rows.where(is_query(F.col("id"))).select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), F.col("v")).alias("h2")).distinct().join(groups.select("h1", "h2", "node"), ["h1", "h2"]).select("id", "node"), "asked")
-
-    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = _vectors(batch.column(1).to_pylist())
-                x[:, -1] = 0
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x.astype("<f2")], pa.binary())], names=["q", "vec"])
-
-    wanted = asked.select("node").distinct()
-    seekers = nodes.join(wanted, "node").mapInArrow(plain, "q long, vec binary")
-    found = graph_search(seekers, edges, nodes, count)
+    with Working() as work:
+        rows = keep(usable(df, vec_id, vector), "vectors")
+        groups = work.spare(Kept(classes(rows, results), "nodes"))
+        # Components are taken relative to the largest one, so that no square overflows.
+        largest = groups.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 1.0
+        square = F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / largest) * (x / largest))
+        count, norm = groups.agg(F.count("*"), F.max(F.sqrt(square))).first()
+        nodes = keep(_halves(groups, largest, norm or 1.0), "halves")
+        edges = neighbour_graph(nodes, count)
+        asked = work.spare(Kept(rows.where(is_query(F.col("id"))).select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), F.col("v")).alias("h2")).distinct().join(groups.select("h1", "h2", "node"), ["h1", "h2"]).select("id", "node"), "asked"))
+
+        def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = _vectors(batch.column(1).to_pylist())
+                    x[:, -1] = 0
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x.astype("<f2")], pa.binary())], names=["q", "vec"])
+
+        wanted = asked.select("node").distinct()
+        seekers = nodes.join(wanted, "node").mapInArrow(plain, "q long, vec binary")
+        found = work.spare(Kept(graph_search(seekers, edges, nodes, count), "found"))
     dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     scored = found.join(groups.select(F.col("node").alias("q"), F.col("v").alias("qv")), "q").join(groups.select("node", "v", "ids"), "node").select("q", "ids", dot.alias("score"))
     each = scored.select("q", "score", F.explode("ids").alias("vec_id"))

@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.storage import keep
+from tidemark.llm.storage import Kept, Working, keep
 
 RADIUS = 3
 SHINGLE = 3
@@ -120,9 +120,11 @@ def _rooted(prints: DataFrame) -> DataFrame:
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``df`` for each component, also for those of null ids only: the first by id (nulls last), hash of the text, text and the other columns."""
-    hashed = keep(with_fingerprint(df.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))), "fingerprints")
-    own = hashed.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first"))
-    firsts = own.join(_rooted(hashed), "fp").groupBy("root").agg(F.min("first").alias("first")).select("root", "first.id", "first.th")
+    with Working() as work:
+        hashed = keep(with_fingerprint(df.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))), "fingerprints")
+        own = hashed.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first"))
+        chosen = own.join(_rooted(hashed), "fp").groupBy("root").agg(F.min("first").alias("first")).select("root", "first.id", "first.th")
+        firsts = work.spare(Kept(chosen, "firsts"))
     named = df.withColumn("_th", F.xxhash64(text))
     found = named.join(firsts, named[doc_id].eqNullSafe(firsts["id"]) & (named["_th"] == firsts["th"]))
     rest = [c for c in df.columns if c not in (doc_id, text)]
@@ -131,10 +133,11 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` of every row of ``df``."""
-    hashed = keep(with_fingerprint(df.select(doc_id, text), text), "fingerprints")
-    classes = keep(hashed.groupBy("fp").agg(F.min(doc_id).alias("least")), "classes")
-    parts = keep(connected_components(fingerprint_links(classes.select("fp"))), "parts")
-    rooted = classes.join(parts, classes["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = keep(rooted.join(least, "root").select("fp", "component_id"), "labels")
+    with Working() as work:
+        hashed = work.spare(Kept(with_fingerprint(df.select(doc_id, text), text), "fingerprints"))
+        classes = keep(hashed.groupBy("fp").agg(F.min(doc_id).alias("least")), "classes")
+        parts = keep(connected_components(fingerprint_links(classes.select("fp"))), "parts")
+        rooted = classes.join(parts, classes["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        labels = work.spare(Kept(rooted.join(least, "root").select("fp", "component_id"), "labels"))
     return hashed.join(labels, "fp").select(doc_id, "fp", "component_id")

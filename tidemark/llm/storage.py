@@ -29,6 +29,29 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_SCOPES: list[list[Kept]] = []
+
+
+class Working:
+    """Tables written inside go at its end, but for those spared because the result reads them."""
+
+    def __enter__(self) -> Working:
+        _SCOPES.append([])
+        self.spared: list[Kept] = []
+        return self
+
+    def spare(self, kept: Kept) -> DataFrame:
+        self.spared.append(kept)
+        return kept.df
+
+    def __exit__(self, *_) -> None:
+        for kept in _SCOPES.pop():
+            if kept not in self.spared:
+                kept.drop()
+        if _SCOPES:
+            _SCOPES[-1].extend(self.spared)
+
+
 class Kept:
     """A written table: ``df`` reads it, ``drop()`` deletes its files."""
 
@@ -43,6 +66,8 @@ class Kept:
             self.df = self._written(df)
         finally:
             self.spark.conf.set(CLEANUP, before)
+        if _SCOPES:
+            _SCOPES[-1].append(self)
 
     def _written(self, df: DataFrame) -> DataFrame:
         df.write.parquet(self.path)
