@@ -20,7 +20,8 @@ as equal fingerprints are one class before.
 
 Fingerprints with no possible partner are set aside first: within 3 bits, one
 32-bit half differs in one bit at most. That needs 1 key for a half of even
-parity and 33 for one of odd parity; it only saves work.
+parity and 33 for one of odd parity. It only saves work: what meets another by
+chance is let go by a second split, into bits by turns.
 
 Defined results: null and empty texts have fingerprint zero and link like any
 other; rows with equal ids keep their own fingerprints; the id of a component
@@ -53,7 +54,8 @@ def _signed(bits: int) -> int:
 
 NEAR = [0, *(_signed(1 << i) for i in range(64))]
 FAR = [_signed(1 << i | 1 << j) for half in (0, 32) for i in range(half, half + 32) for j in range(half, i)]
-HALF = [0, *(1 << i for i in range(32))]
+#: Halves of the word, by place and by turns.
+SPLITS = (0xFFFFFFFF, 0x5555555555555555)
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -91,18 +93,24 @@ def _masks(values: list[int], kind: str = "long"):
     return F.array(*[F.lit(v).cast(kind) for v in values])
 
 
-def _with_partner(prints: DataFrame) -> DataFrame:
-    """The fingerprints of which a 32-bit half is within one bit of another's."""
-    halves = prints.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.shiftrightunsigned("fp", 32).alias("half")), F.struct(F.lit(1).alias("side"), F.col("fp").bitwiseAND(0xFFFFFFFF).alias("half")))).alias("h")).select("fp", "h.side", "h.half")
-    flips = F.when(F.bit_count("half") % 2 == 1, _masks(HALF)).otherwise(_masks([0]))
-    keys = halves.select("fp", "side", "half", F.explode(flips).alias("flip")).select("fp", (F.col("half").bitwiseXOR(F.col("flip")) * 2 + F.col("side")).alias("key"))
-    several = keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+def _with_partner(prints: DataFrame, mask: int) -> DataFrame:
+    """The fingerprints of which the half of bits in ``mask``, or the other half, is within one bit of another's."""
+    each = []
+    for side, bits in enumerate((mask, ~mask)):
+        flips = [0, *(_signed(1 << i) for i in range(64) if bits >> i & 1)]
+        half = F.col("fp").bitwiseAND(F.lit(_signed(bits % (1 << 64))))
+        flip = F.when(F.bit_count(half) % 2 == 1, _masks(flips)).otherwise(_masks([0]))
+        each.append(prints.select("fp", F.lit(side).alias("side"), half.alias("half"), F.explode(flip).alias("flip")))
+    keys = each[0].unionByName(each[1]).select("fp", "side", F.col("half").bitwiseXOR(F.col("flip")).alias("key"))
+    several = keys.withColumn("n", F.count("*").over(Window.partitionBy("side", "key"))).where("n > 1")
     return several.select("fp").distinct()
 
 
 def fingerprint_links(prints: DataFrame) -> DataFrame:
     """Verified links (u, v) that connect all distinct ``fp`` within the radius."""
-    some = keep(_with_partner(prints), "partnered")
+    some = prints
+    for mask in SPLITS:
+        some = keep(_with_partner(some, mask), "partnered")
     near = some.select("fp", F.lit(True).alias("near"), F.explode(_masks(NEAR)).alias("flip"))
     far = some.where(F.bit_count("fp") % 2 == 1).select("fp", F.lit(False).alias("near"), F.explode(_masks(FAR)).alias("flip"))
     variants = near.unionByName(far).select("fp", "near", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
