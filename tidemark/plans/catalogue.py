@@ -39,10 +39,10 @@ def _ohlcv_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.ohlcv(ticks(spark, sf_dir), "symbol_id", F.date_trunc("day", "time").cast("timestamp_ntz"))
 
 
-@query("daily_vwap", "SELECT symbol_id, date_trunc('day', time) AS bucket, round(sum(price * size) / nullif(sum(size), 0), 6) AS vwap, CAST(sum(size) AS BIGINT) AS total_volume FROM [ticks] GROUP BY symbol_id, date_trunc('day', time)")
+@query("daily_vwap", "SELECT symbol_id, date_trunc('day', time) AS bucket, round(sum(price * size) / nullif(sum(size), 0), 4) AS vwap, CAST(sum(size) AS BIGINT) AS total_volume FROM [ticks] GROUP BY symbol_id, date_trunc('day', time)")
 def _vwap(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rollup.vwap(ticks(spark, sf_dir), "symbol_id", F.date_trunc("day", "time").cast("timestamp_ntz"))
-    return found.withColumn("vwap", F.round("vwap", 6))
+    return found.withColumn("vwap", F.round("vwap", 4))
 
 
 @query("sma_20", "SELECT symbol, time, round(avg(close) OVER w, 4) AS sma_20, round(stddev_samp(close) OVER w, 4) AS stddev_20 FROM [daily] WINDOW w AS (PARTITION BY symbol ORDER BY time ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
@@ -259,7 +259,7 @@ def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.signal_grid(bars_daily(spark, sf_dir), "symbol", FASTS, SLOWS).where("entry or exit")
 
 
-SINGLE_SQL = f"""SELECT symbol, n_fast, n_slow, time, held, round(product(change) OVER (w ROWS UNBOUNDED PRECEDING), 6) AS equity FROM (
+SINGLE_SQL = f"""SELECT symbol, n_fast, n_slow, time, held, round(ln(product(change) OVER (w ROWS UNBOUNDED PRECEDING)), 6) AS log_equity FROM (
   SELECT *, CASE WHEN held = 1 AND was = 0 THEN 0.999 * close / fill WHEN held = 0 AND was = 1 THEN 0.999 * fill / before WHEN held = 1 THEN close / before ELSE 1 END AS change FROM (
     SELECT *, coalesce(lag(held) OVER w, 0) AS was, lag(close) OVER w AS before FROM (
       SELECT *, coalesce(last_value(target IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING), 0) AS held FROM (
@@ -272,7 +272,7 @@ SINGLE_SQL = f"""SELECT symbol, n_fast, n_slow, time, held, round(product(change
 @query("single_stock_grid", SINGLE_SQL)
 def _single(spark: SparkSession, sf_dir: str) -> DataFrame:
     signals = backtest.signal_grid(bars_daily(spark, sf_dir), "symbol", FASTS, SLOWS)
-    return backtest.single_stock(signals, ["symbol", "n_fast", "n_slow"]).withColumn("equity", F.round("equity", 6))
+    return backtest.single_stock(signals, ["symbol", "n_fast", "n_slow"]).withColumn("log_equity", F.round(F.log("equity"), 6)).drop("equity")
 
 
 @query("html_link_extract", "SELECT DISTINCT page_id, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/]*') || href ELSE regexp_replace(url, '[^/]*$', '') || href END AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages) x WHERE regexp_matches(href, '(?i)tion$')")
@@ -349,10 +349,10 @@ COUNTER = "(SELECT symbol_id, time, CASE WHEN kind = 'signup' THEN 0.0 ELSE pric
 RATE = f"(SELECT symbol_id, time, sum(step) OVER (PARTITION BY symbol_id ORDER BY time RANGE BETWEEN INTERVAL '86399.999999 seconds' PRECEDING AND CURRENT ROW) / 86400.0 AS rate FROM (SELECT symbol_id, time, CASE WHEN p IS NULL THEN 0.0 WHEN v < p THEN v ELSE v - p END AS step FROM (SELECT symbol_id, time, v, lag(v) OVER (PARTITION BY symbol_id ORDER BY time) AS p FROM {COUNTER} a) b) c)"
 
 
-@query("cpu_pct_by_name", f"SELECT symbol_id, date_trunc('day', time)::TIMESTAMP AS step, round(100 * sum(rate), 6) AS cpu_pct FROM {RATE} r GROUP BY symbol_id, date_trunc('day', time)")
+@query("cpu_pct_by_name", f"SELECT symbol_id, date_trunc('day', time)::TIMESTAMP AS step, round(100 * sum(rate), 3) AS cpu_pct FROM {RATE} r GROUP BY symbol_id, date_trunc('day', time)")
 def _cpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate = monitoring.counter_rate(_counter(spark, sf_dir), ["symbol_id"], 86_400)
-    return rate.groupBy("symbol_id", F.date_trunc("day", "time").cast("timestamp_ntz").alias("step")).agg(F.round(100 * F.sum("rate"), 6).alias("cpu_pct"))
+    return rate.groupBy("symbol_id", F.date_trunc("day", "time").cast("timestamp_ntz").alias("step")).agg(F.round(100 * F.sum("rate"), 3).alias("cpu_pct"))
 
 
 @query("instant_last", f"SELECT symbol_id, max_by(v, time) AS value FROM {COUNTER} c WHERE time <= TIMESTAMP '2024-01-15 00:00:00' AND time > TIMESTAMP '2024-01-14 00:00:00' GROUP BY symbol_id")
