@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, licenses, line_dedup, main_text, mixing, neighbours, packing, simhash, winnow
+from tidemark.llm import langid, licenses, line_dedup, main_text, mixing, neighbours, packing, simhash, token_counts, winnow
 from tidemark.llm.shards import shard_by_ring
 
 
@@ -88,8 +88,13 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licences(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and byte-level tokens of every document."""
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_shard_ring": op1_shard_ring, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_winnowing": op4_winnowing, "op5_neighbours": op5_neighbours, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op8_main_text": op8_main_text, "op9_packing": op9_packing, "op10_licences": op10_licences}
+    return {"op1_shard_ring": op1_shard_ring, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_winnowing": op4_winnowing, "op5_neighbours": op5_neighbours, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op8_main_text": op8_main_text, "op9_packing": op9_packing, "op10_licences": op10_licences, "op13_token_counts": op13_token_counts}
 
 
 def _filled(table: str, parent: str, name: str) -> str:
