@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, licenses, line_dedup, main_text, mixing, neighbours, packing, simhash, token_counts, winnow
+from tidemark.llm import fill_middle, langid, licenses, line_dedup, main_text, mixing, neighbours, packing, simhash, token_counts, winnow
 from tidemark.llm.shards import shard_by_ring
 
 
@@ -88,13 +88,19 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licences(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its middle moved to the end, and the text rebuilt from that."""
+    found = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and byte-level tokens of every document."""
     return token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")).drop("text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_shard_ring": op1_shard_ring, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_winnowing": op4_winnowing, "op5_neighbours": op5_neighbours, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op8_main_text": op8_main_text, "op9_packing": op9_packing, "op10_licences": op10_licences, "op13_token_counts": op13_token_counts}
+    return {"op1_shard_ring": op1_shard_ring, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_winnowing": op4_winnowing, "op5_neighbours": op5_neighbours, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op8_main_text": op8_main_text, "op9_packing": op9_packing, "op10_licences": op10_licences, "op11_fill_middle": op11_fill_middle, "op13_token_counts": op13_token_counts}
 
 
 def _filled(table: str, parent: str, name: str) -> str:
@@ -129,6 +135,19 @@ SELECT doc_id, domain, lang, source, tokens, CAST(epoch AS INTEGER) AS epoch FRO
 """
 
 
+FILL_MIDDLE_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (SELECT *, CAST(len(units) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM docs),
+cuts AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:n], '') AS suffix FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM parts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL can't express the other operators; they are tested against brute force."""
-    return {"op7_mixing": MIXING_SQL}
+    return {"op7_mixing": MIXING_SQL, "op11_fill_middle": FILL_MIDDLE_SQL}
