@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fill_middle, langid, licenses, line_dedup, main_text, mixing, neighbours, packing, simhash, token_counts, winnow
+from tidemark.llm import dialogue, fill_middle, langid, licenses, line_dedup, main_text, mixing, neighbours, packing, simhash, token_counts, winnow
 from tidemark.llm.shards import shard_by_ring
 
 
@@ -94,13 +94,18 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, the cheapest edits and the hash of the repaired rows."""
+    return dialogue.repair(dialogue.damaged(_table(spark, sf_dir, "conversations")))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and byte-level tokens of every document."""
     return token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")).drop("text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_shard_ring": op1_shard_ring, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_winnowing": op4_winnowing, "op5_neighbours": op5_neighbours, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op8_main_text": op8_main_text, "op9_packing": op9_packing, "op10_licences": op10_licences, "op11_fill_middle": op11_fill_middle, "op13_token_counts": op13_token_counts}
+    return {"op1_shard_ring": op1_shard_ring, "op2_language_id": op2_language_id, "op3_simhash": op3_simhash, "op4_winnowing": op4_winnowing, "op5_neighbours": op5_neighbours, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op8_main_text": op8_main_text, "op9_packing": op9_packing, "op10_licences": op10_licences, "op11_fill_middle": op11_fill_middle, "op12_dialogue_repair": op12_dialogue_repair, "op13_token_counts": op13_token_counts}
 
 
 def _filled(table: str, parent: str, name: str) -> str:
