@@ -26,19 +26,21 @@ def by_name(rows):
     return out
 
 
-@pytest.mark.parametrize("width", [7, 100, 10**7])
+@pytest.mark.parametrize("width", [7, 100, 10**7, None])
 def test_carried_values_match_a_walk(spark, width):
-    rows = made(width)
+    rows = made(width or 5)
     value = F.col("value")
-    got = scans.carried(spark.createDataFrame(rows, SCHEMA), ["name"], ["time", "tie"], sums={"total": value}, lasts={"before": value}, nexts={"after": value}, width=width)
-    found = {r["tie"]: (r["total"], r["before"], r["after"]) for r in got.collect()}
+    got = scans.carried(spark.createDataFrame(rows, SCHEMA), ["name"], ["time", "tie"], sums={"total": value}, lasts={"before": value}, nexts={"after": value}, marks={"mark": ("total", value > 40)}, width=width)
+    found = {r["tie"]: (r["total"], r["before"], r["after"], r["mark"]) for r in got.collect()}
     assert len(found) == len(rows)
     for own in by_name(rows).values():
         for k, r in enumerate(own):
             upto = [x[3] for x in own[: k + 1] if x[3] is not None]
             before = [x[3] for x in own[:k] if x[3] is not None]
             after = [x[3] for x in own[k + 1 :] if x[3] is not None]
-            assert found[r[2]] == (pytest.approx(sum(upto)) if upto else None, before[-1] if before else None, after[0] if after else None)
+            high = [j for j, x in enumerate(own[:k]) if (x[3] or 0) > 40]
+            mark = pytest.approx(sum(x[3] or 0 for x in own[: high[-1] + 1])) if high else None
+            assert found[r[2]] == (pytest.approx(sum(upto)) if upto else None, before[-1] if before else None, after[0] if after else None, mark)
 
 
 @pytest.mark.parametrize("within", [None, 60, 1])
@@ -52,17 +54,17 @@ def test_asof_join_matches_a_search(spark, within):
         assert got[tie] == (earlier[-1][3] if earlier else None)
 
 
-@pytest.mark.parametrize("missing, width", [(0, 40), (0.3, 40), (0.95, 10**7)])
+@pytest.mark.parametrize("missing, width", [(0, 40 * 60), (0.3, None), (0.95, None)])
 def test_recursive_averages_match_pandas(spark, missing, width):
     rng = random.Random(7)
     rows = [(name, at(60 * k), k, None if rng.random() < missing else rng.uniform(1, 100)) for name in ("a", "b", None) for k in range(3000 if name == "a" else 50)]
     alphas = {"slow": 2 / 27, "fast": 2 / 13, "steep": 0.97, "whole": 1.0}
-    got = scans.recursive_averages(spark.createDataFrame(rows, SCHEMA), ["name"], {n: ("value", a) for n, a in alphas.items()}, width=width * 60).orderBy("name", "time").toPandas()
+    got = scans.recursive_averages(spark.createDataFrame(rows, SCHEMA), ["name"], {n: ("value", a) for n, a in alphas.items()}, width=width).orderBy("name", "time").toPandas()
     assert len(got) == len(rows)
     for name, own in got.groupby(got["name"].fillna("none")):
         for column, alpha in alphas.items():
             want = own["value"].ewm(alpha=alpha, adjust=False).mean()
-            pd.testing.assert_series_equal(own[column].astype(float), want, check_names=False, rtol=1e-9)
+            pd.testing.assert_series_equal(own[column].astype(float), want, check_names=False, rtol=1e-13)
 
 
 def test_averages_after_very_long_gaps(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.functions import indicators as ind
-from tidemark.functions.recursive import smoothed
+from tidemark.functions import recursive
 from tidemark.operators import backtest, ingest, metrics, monitoring, rollup, text, universe
 from tidemark.plans.registry import FOUND, SQL, query
 from tidemark.plans.shared_sql import RAW, for_check
@@ -219,7 +219,7 @@ EMA_SQL = "WITH RECURSIVE b AS (SELECT symbol, time, close, row_number() OVER (P
 
 @query("ema_12")
 def _ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return smoothed(bars_daily(spark, sf_dir), "symbol").select("symbol", "time", F.round("ema_12", 4).alias("ema_12"))
+    return recursive.ema(bars_daily(spark, sf_dir).select("symbol", "time", "close"), "symbol").select("symbol", "time", F.round("ema_12", 4).alias("ema_12"))
 
 
 SQL["ema_12"] = for_check(EMA_SQL.replace("{a}", "(2.0::DOUBLE / 13)"))
@@ -236,7 +236,7 @@ SELECT symbol, time, round(f - s, 3) AS macd, round(g, 3) AS macd_signal, CASE W
 
 @query("macd_rsi", MACD_SQL)
 def _macd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return smoothed(bars_daily(spark, sf_dir), "symbol").select("symbol", "time", *[F.round(c, 3).alias(c) for c in ("macd", "macd_signal", "rsi")])
+    return recursive.macd_rsi(bars_daily(spark, sf_dir), "symbol").select("symbol", "time", *[F.round(c, 3).alias(c) for c in ("macd", "macd_signal", "rsi")])
 
 
 FASTS, SLOWS = [10, 20, 30], [50, 100]

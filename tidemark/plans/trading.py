@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.recursive import smoothed
+from tidemark.functions import recursive
 from tidemark.operators import backtest, metrics, rollup, universe
 from tidemark.plans.registry import query
 from tidemark.sources.market import bars_daily, half_open, listings, ticks
@@ -111,4 +111,4 @@ SELECT symbol, time, CASE WHEN k >= 14 THEN round(v, 3) END AS atr_wilder FROM e
 
 @query("atr_wilder", ATR_SQL)
 def _atr_wilder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return smoothed(bars_daily(spark, sf_dir), "symbol").select("symbol", "time", F.round("atr_wilder", 3).alias("atr_wilder"))
+    return recursive.atr_wilder(bars_daily(spark, sf_dir), "symbol").select("symbol", "time", F.round("atr_wilder", 3).alias("atr_wilder"))
