@@ -57,12 +57,12 @@ def carried(rows: DataFrame, keys: list[str], order: list[str], *, sums: dict[st
     edged = blocks.select(*keys, BLOCK, *(F.col(f"_all_{m}") for m in marks), *edges)
     for m, (n, _) in marks.items():
         edged = edged.withColumn(f"_edge_{m}", F.last(F.col(f"_all_{m}") + F.coalesce(f"_edge_{n}", F.lit(0)), ignorenulls=True).over(ahead))
-    edged = edged.select(F.struct(*keys, BLOCK).alias("_at"), *(f"_edge_{n}" for n in (*sums, *lasts, *nexts, *marks)))
+    edged = edged.select(F.struct(*keys, BLOCK).alias("_series_block"), *(f"_edge_{n}" for n in (*sums, *lasts, *nexts, *marks)))
     own = {} if marks else {f"_own_{n}": F.sum(f"_in_{n}").over(upto) for n in sums}
     own |= {f"_own_{n}": F.last(f"_in_{n}", ignorenulls=True).over(before) for n in (*lasts, *marks)}
     own |= {f"_own_{n}": F.first(f"_in_{n}", ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing)) for n in nexts}
-    same = [cut[c].eqNullSafe(edged["_at"][c]) for c in (*keys, BLOCK)]
-    whole = {n: F.when(F.col(f"_own_{n}").isNull() & F.col(f"_edge_{n}").isNull(), None).otherwise(F.coalesce(f"_own_{n}", F.lit(0)) + F.coalesce(f"_edge_{n}", F.lit(0))) for n in sums}
+    same = [cut[c].eqNullSafe(edged["_series_block"][c]) for c in (*keys, BLOCK)]
+    whole = {n: F.coalesce(F.col(f"_own_{n}") + F.col(f"_edge_{n}"), f"_own_{n}", f"_edge_{n}") for n in sums}
     whole |= {n: F.coalesce(f"_own_{n}", f"_edge_{n}") for n in (*lasts, *nexts)}
     whole |= {m: F.coalesce(F.col(f"_own_{m}") + F.coalesce(f"_edge_{n}", F.lit(0)), F.col(f"_edge_{m}")) for m, (n, _) in marks.items()}
     kept = [F.col(c) for c in rows.columns if c not in whole]
@@ -139,8 +139,8 @@ def recursive_averages(rows: DataFrame, keys: list[str], values: dict[str, tuple
         ends = _ended(ends, keys, n, alpha, rates[n])
     along = Window.partitionBy(*keys).orderBy("_part")
     before = [F.lag(f"_{kind}_{n}").over(along).alias(f"_{kind}_before_{n}") for n in values for kind in ("step", "sum", "end")]
-    ends = ends.select(F.struct(*keys, "_part").alias("_at"), *before)
-    joined = out.join(ends, [out[c].eqNullSafe(ends["_at"][c]) for c in (*keys, "_part")])
+    ends = ends.select(F.struct(*keys, "_part").alias("_series_block"), *before)
+    joined = out.join(ends, [out[c].eqNullSafe(ends["_series_block"][c]) for c in (*keys, "_part")])
     return joined.select(*rows.columns, *(_with_older(F.col(f"_own_{n}"), F.col(f"_end_before_{n}"), _left(alpha, F.col(f"_step_{n}") - F.col(f"_step_before_{n}"), F.col(f"_sum_{n}") - F.col(f"_sum_before_{n}"))).alias(n) for n, (_, alpha) in values.items()))
 
 

@@ -324,12 +324,12 @@ def _content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ticks(spark, sf_dir).select("symbol_id", "time", F.when(F.col("kind") == "signup", 0.0).otherwise(F.col("price")).alias("value"))
+    return ticks(spark, sf_dir).select("symbol_id", "time", "event_id", F.when(F.col("kind") == "signup", 0.0).otherwise(F.col("price")).alias("value"))
 
 
-@query("counter_rate", "SELECT symbol_id, time, round(sum(step) OVER (PARTITION BY symbol_id ORDER BY time RANGE BETWEEN INTERVAL '86399.999999 seconds' PRECEDING AND CURRENT ROW) / 86400.0, 9) AS rate FROM (SELECT symbol_id, time, CASE WHEN p IS NULL THEN 0.0 WHEN v < p THEN v ELSE v - p END AS step FROM (SELECT symbol_id, time, v, lag(v) OVER (PARTITION BY symbol_id ORDER BY time) AS p FROM (SELECT symbol_id, time, CASE WHEN kind = 'signup' THEN 0.0 ELSE price END AS v FROM [ticks]) a) b) c")
+@query("counter_rate", "SELECT symbol_id, time, round(sum(step) OVER (PARTITION BY symbol_id ORDER BY time RANGE BETWEEN INTERVAL '86399.999999 seconds' PRECEDING AND CURRENT ROW) / 86400.0, 9) AS rate FROM (SELECT symbol_id, time, CASE WHEN p IS NULL THEN 0.0 WHEN v < p THEN v ELSE v - p END AS step FROM (SELECT symbol_id, time, v, lag(v) OVER (PARTITION BY symbol_id ORDER BY time, event_id) AS p FROM (SELECT symbol_id, time, event_id, CASE WHEN kind = 'signup' THEN 0.0 ELSE price END AS v FROM [ticks]) a) b) c")
 def _rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return monitoring.counter_rate(_counter(spark, sf_dir), ["symbol_id"], 86_400).select("symbol_id", "time", F.round("rate", 9).alias("rate"))
+    return monitoring.counter_rate(_counter(spark, sf_dir), ["symbol_id"], 86_400, tie="event_id", digits=2).select("symbol_id", "time", F.round("rate", 9).alias("rate"))
 
 
 @query("uptime_days", "SELECT symbol_id, date_diff('day', CAST(first AS DATE), DATE '2030-01-01') AS days FROM (SELECT symbol_id, min(time) AS first FROM [ticks] GROUP BY symbol_id) x")
@@ -345,13 +345,13 @@ def _ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("ratio", F.col("free") / F.nullif("size", F.lit(0.0))).where("ratio < 0.15")
 
 
-COUNTER = "(SELECT symbol_id, time, CASE WHEN kind = 'signup' THEN 0.0 ELSE price END AS v FROM [ticks])"
-RATE = f"(SELECT symbol_id, time, sum(step) OVER (PARTITION BY symbol_id ORDER BY time RANGE BETWEEN INTERVAL '86399.999999 seconds' PRECEDING AND CURRENT ROW) / 86400.0 AS rate FROM (SELECT symbol_id, time, CASE WHEN p IS NULL THEN 0.0 WHEN v < p THEN v ELSE v - p END AS step FROM (SELECT symbol_id, time, v, lag(v) OVER (PARTITION BY symbol_id ORDER BY time) AS p FROM {COUNTER} a) b) c)"
+COUNTER = "(SELECT symbol_id, time, event_id, CASE WHEN kind = 'signup' THEN 0.0 ELSE price END AS v FROM [ticks])"
+RATE = f"(SELECT symbol_id, time, sum(step) OVER (PARTITION BY symbol_id ORDER BY time RANGE BETWEEN INTERVAL '86399.999999 seconds' PRECEDING AND CURRENT ROW) / 86400.0 AS rate FROM (SELECT symbol_id, time, CASE WHEN p IS NULL THEN 0.0 WHEN v < p THEN v ELSE v - p END AS step FROM (SELECT symbol_id, time, v, lag(v) OVER (PARTITION BY symbol_id ORDER BY time, event_id) AS p FROM {COUNTER} a) b) c)"
 
 
 @query("cpu_pct_by_name", f"SELECT symbol_id, date_trunc('day', time)::TIMESTAMP AS step, round(100 * sum(rate), 3) AS cpu_pct FROM {RATE} r GROUP BY symbol_id, date_trunc('day', time)")
 def _cpu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rate = monitoring.counter_rate(_counter(spark, sf_dir), ["symbol_id"], 86_400)
+    rate = monitoring.counter_rate(_counter(spark, sf_dir), ["symbol_id"], 86_400, tie="event_id", digits=2)
     return rate.groupBy("symbol_id", F.date_trunc("day", "time").cast("timestamp_ntz").alias("step")).agg(F.round(100 * F.sum("rate"), 3).alias("cpu_pct"))
 
 
@@ -361,6 +361,30 @@ def _instant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitoring.instant_last(rows, ["symbol_id"], "2024-01-15 00:00:00", minutes=60 * 24)
 
 
+def _every(seconds: int, reach: int) -> str:
+    """SQL: each sample with every step of which the window of ``reach`` seconds holds it."""
+    return f"(SELECT s.*, first + k * INTERVAL {seconds} SECOND AS step FROM (SELECT *, time_bucket(INTERVAL {seconds} SECOND, time - INTERVAL 1 MICROSECOND, TIMESTAMP '1970-01-01') + INTERVAL {seconds} SECOND AS first FROM {COUNTER} c) s, range({reach // seconds + 1}) r(k) WHERE first + k * INTERVAL {seconds} SECOND < time + INTERVAL {reach} SECOND)"
+
+
+@query("instant_steps", f"SELECT symbol_id, step, arg_max(v, struct_pack(t := time, e := event_id)) AS value FROM {_every(60, 300)} x GROUP BY symbol_id, step")
+def _instant_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every series at every minute that has a sample in the five minutes before."""
+    return monitoring.instant_range(_counter(spark, sf_dir), ["symbol_id"], 60, tie="event_id")
+
+
+RATE_STEPS_SQL = f"""SELECT symbol_id, step, round(grown * (sampled + least(CASE WHEN ahead < mean * 1.1 THEN ahead ELSE mean / 2 END, CASE WHEN grown > 0 AND first >= 0 THEN sampled * first / grown END) + CASE WHEN behind < mean * 1.1 THEN behind ELSE mean / 2 END) / sampled / 86400, 9) AS rate
+FROM (SELECT symbol_id, step, last - first + coalesce(fixes, 0) AS grown, first, epoch_us(till) - epoch_us(since) AS sampled, (epoch_us(till) - epoch_us(since)) / (n - 1) AS mean, epoch_us(since) - epoch_us(step) + 86400000000 AS ahead, epoch_us(step) - epoch_us(till) AS behind
+  FROM (SELECT symbol_id, step, min(time) AS since, max(time) AS till, arg_min(v, time) AS first, arg_max(v, time) AS last, count(*) AS n, sum(CASE WHEN time > since THEN CASE WHEN v < p THEN p END END) AS fixes
+    FROM (SELECT *, min(time) OVER (PARTITION BY symbol_id, step) AS since, lag(v) OVER (PARTITION BY symbol_id, step ORDER BY time) AS p FROM (SELECT symbol_id, step, time, arg_max(v, event_id) AS v FROM {_every(21600, 86400)} e GROUP BY symbol_id, step, time) u) w GROUP BY symbol_id, step) g WHERE n > 1) x"""
+
+
+@query("rate_steps", RATE_STEPS_SQL)
+def _rate_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate over a day at every sixth hour, extrapolated to the window's bounds."""
+    found = monitoring.rate_range(_counter(spark, sf_dir), ["symbol_id"], 21_600, 86_400, tie="event_id")
+    return found.select("symbol_id", "step", F.round("rate", 9).alias("rate"))
+
+
 @query("schema_cast", "SELECT CAST(time AS TIMESTAMP) AS time, symbol AS ticker, open, high, low, close, CAST(volume AS BIGINT) AS volume FROM [daily]")
 def _schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = bars_daily(spark, sf_dir).withColumnRenamed("symbol", "ticker")
