@@ -119,6 +119,32 @@ def pending(samples: DataFrame, keys: list[str], condition, minutes: int, *, tim
     return spans.groupBy(*keys, "_span").agg(F.min(time).alias("start"), F.max(time).alias("end")).where(F.col("end") >= F.col("start") + F.expr(f"interval {minutes} minutes")).drop("_span")
 
 
+def alert_intervals(samples: DataFrame, keys: list[str], limit: float, hold: int, *, above: bool = True, step: int = 60, lookback: int = 300, start: str | None = None, end: str | None = None, tie: str | None = None, width: int = DAY) -> DataFrame:
+    """The life of a rule's alerts, evaluated at every ``step`` seconds on each series' last sample.
+
+    An alert is pending from the first evaluation over (or below) the limit,
+    fires ``hold`` seconds later if it has lasted, and ends at the first
+    evaluation at which the value is fine, or missing: no data counts as fine,
+    a value that is no number as over the limit. Columns: ``start``,
+    ``firing`` (null if it never fired), ``end``, ``state`` (``resolved`` or
+    ``cancelled``) and ``reason`` (``ok`` or ``no data``).
+    """
+    value = F.col("value")
+    over = F.coalesce(F.isnan("value") | (value > limit if above else value < limit), F.lit(False))
+    rows = instant_range(samples, keys, step, lookback=lookback, start=start, end=end, tie=tie, width=width).withColumn("_on", over)
+    at = F.struct("step", "_on")
+    rows = carried(rows, keys, ["step"], lasts={"_last": at}, nexts={"_next": at}, width=width)
+    one = F.expr(f"interval {step} seconds")
+    goes_on = F.coalesce(F.col("_last._on") & (F.col("_last.step") + one == F.col("step")), F.lit(False))
+    rows = carried(rows, keys, ["step"], sums={"_alert": (F.col("_on") & ~goes_on).cast("int")}, width=width)
+    spans = rows.where("_on").groupBy(*keys, "_alert").agg(F.min("step").alias("start"), (F.max("step") + one).alias("end"), F.max_by("_next.step", "step").alias("_next"))
+    fires = F.col("start") + F.expr(f"interval {hold} seconds")
+    firing = F.when(fires < F.col("end"), fires)
+    state = F.when(firing.isNotNull(), "resolved").otherwise("cancelled")
+    reason = F.when(F.col("_next") == F.col("end"), "ok").otherwise("no data")
+    return spans.select(*keys, "start", firing.alias("firing"), "end", state.alias("state"), reason.alias("reason"))
+
+
 def absent(expected: DataFrame, samples: DataFrame, keys: list[str], at: str, minutes: int = 3, *, whole: bool = False) -> DataFrame:
     """Expected series without a sample in the ``minutes`` before ``at``; ``whole``: only if none has any."""
     end = F.lit(at).cast("timestamp_ntz")

@@ -399,4 +399,15 @@ def _alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitoring.pending(_counter(spark, sf_dir), ["symbol_id"], F.col("value") < 50, 5)
 
 
+INSTANTS = f"(SELECT symbol_id, step, arg_max(v, struct_pack(t := time, e := event_id)) AS v FROM {_every(60, 300)} x GROUP BY symbol_id, step)"
+LIFE_SQL = f"""WITH i AS {INSTANTS}, s AS (SELECT symbol_id, min(step) AS start, max(step) + INTERVAL 1 MINUTE AS "end" FROM (SELECT *, step - row_number() OVER (PARTITION BY symbol_id ORDER BY step) * INTERVAL 1 MINUTE AS span FROM i WHERE v > 50) o GROUP BY symbol_id, span)
+SELECT s.symbol_id, start, CASE WHEN start + INTERVAL 2 MINUTE < "end" THEN start + INTERVAL 2 MINUTE END AS firing, "end", CASE WHEN start + INTERVAL 2 MINUTE < "end" THEN 'resolved' ELSE 'cancelled' END AS state, CASE WHEN i.step IS NULL THEN 'no data' ELSE 'ok' END AS reason FROM s LEFT JOIN i ON i.symbol_id = s.symbol_id AND i.step = s."end\""""
+
+
+@query("alert_lifecycle", LIFE_SQL)
+def _lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts over 50 that fire after two minutes, evaluated each minute."""
+    return monitoring.alert_intervals(_counter(spark, sf_dir), ["symbol_id"], 50, 120, tie="event_id")
+
+
 from tidemark.plans import frames, operations, trading  # noqa: E402, F401  they register their queries
