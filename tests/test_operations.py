@@ -57,9 +57,9 @@ def test_intervals_of_ties_repeats_and_nothing(spark):
 
 def test_upserts_of_nulls_repeats_and_nothing(spark):
     old = spark.createDataFrame([(1, 1.0), (2, None)], "k long, open double")
-    new = spark.createDataFrame([(1, 9.0), (3, 5.0), (3, 4.0), (4, None)], "k long, open double")
-    assert sorted(ingest.upsert_ignore(old, new, ["k"]).collect(), key=str) == sorted([(1, 1.0), (2, None), (3, 4.0)], key=str)
-    assert ingest.upsert_ignore(old, new.where("false"), ["k"]).count() == 2 and ingest.upsert_ignore(old.where("false"), new, ["k"]).count() == 2
+    new = spark.createDataFrame([(1, 9.0, 0), (3, 5.0, 1), (3, 4.0, 2), (4, None, 3)], "k long, open double, no int")
+    assert sorted(ingest.upsert_ignore(old, new, ["k"], arrival="no").collect(), key=str) == sorted([(1, 1.0), (2, None), (3, 5.0)], key=str)
+    assert ingest.upsert_ignore(old, new.where("false"), ["k"]).count() == 2 and ingest.upsert_ignore(old.where("false"), new, ["k"], arrival="no").count() == 2
 
 
 def test_exports_replace_only_their_partitions(spark):

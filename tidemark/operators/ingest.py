@@ -6,16 +6,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.sources.shared import written
+from tidemark.sources.stored import Stored, values
+
 
 def keep_last(rows: DataFrame, keys: list, order: list) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
 
 
-def upsert_ignore(existing: DataFrame, new: DataFrame, keys: list[str], *, needed: str = "open", tie: str | None = None) -> DataFrame:
-    """Rows whose key is absent are added, the first of each key; rows without ``needed`` are skipped."""
+def upsert_ignore(existing: DataFrame, new: DataFrame, keys: list[str], *, arrival: str | None = None, needed: str = "open") -> DataFrame:
+    """Rows whose key is absent are added, of each key the first by ``arrival``; rows without ``needed`` are skipped.
+
+    Without ``arrival`` a key that comes twice is an error: which row was first isn't known.
+    """
     fresh = new.where(F.col(needed).isNotNull())
-    first = keep_last(fresh, keys, [F.col(tie or needed)])
-    return existing.unionByName(first.join(existing.select(*keys), keys, "left_anti"))
+    if arrival is None:
+        of_key = Window.partitionBy(*keys)
+        once = F.when(F.count("*").over(of_key) > 1, F.raise_error(F.lit("a key comes twice: name the order of arrival"))).otherwise(F.lit(1))
+        first = fresh.withColumn("_k", once.cast("int")).where("_k = 1").drop("_k")
+    else:
+        first = keep_last(fresh, keys, [F.col(arrival)])
+    return existing.unionByName(first.select(*existing.columns).join(existing.select(*keys), keys, "left_anti"))
+
+
+def insert_first(store: Stored, new: DataFrame, keys: list[str], *, arrival: str, needed: str = "open") -> None:
+    """``upsert_ignore`` into a stored table: what an earlier write brought stays, then the first of this one.
+
+    Reads and rewrites only partitions that get new rows. A key with a null is
+    never there, as for a unique constraint.
+    """
+    columns = store.schema.names
+    first = written(keep_last(new.where(F.col(needed).isNotNull()), keys, [F.col(arrival)]).select(*columns), "arrived")
+    held = store.read(values(first, store.part))
+    fresh = written(first.join(held.select(*keys), keys, "left_anti"), "fresh")
+    touched = values(fresh, store.part)
+    if touched:
+        store.write(store.read(touched).unionByName(fresh))
 
 
 def upsert_merge(existing: DataFrame, new: DataFrame, keys: list[str], *, overwrite: list[str] = (), fill: list[str] = ()) -> DataFrame:

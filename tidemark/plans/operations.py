@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from tidemark.operators import ingest, monitoring, rollup
 from tidemark.plans.registry import query
 from tidemark.sources.market import bars_daily, constituents, listings, symbols, table, ticks
 from tidemark.sources.shared import csv_members, inventory, scan, shared_path
+from tidemark.sources.stored import Stored
+from tidemark.streaming import alerts
 from tidemark.streaming import bars as streams
 
 BAR = "symbol string, time timestamp_ntz, open double, high double, low double, close double, volume long"
@@ -127,6 +131,79 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("symbol_id long, bucket timestamp, open double, high double, low double, close double, volume long, bar_count long").parquet(out)
 
 
+def _streamed(spark: SparkSession, frame: DataFrame) -> DataFrame:
+    """A stream of what ``frame`` holds now."""
+    source = shared_path(spark, "stream")
+    frame.write.parquet(source)
+    return spark.readStream.schema(frame.schema).parquet(source)
+
+
+def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream has put out when it has read all."""
+    spark, out = stream.sparkSession, shared_path(stream.sparkSession, "out")
+    stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def _stream_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, ticks(spark, sf_dir).withColumn("time", F.col("time").cast("timestamp")))
+
+
+@query("stream_vwap_1d", "SELECT symbol_id, date_trunc('day', time)::TIMESTAMP AS bucket, round(sum(price * size) / nullif(sum(size), 0), 6) AS vwap, CAST(sum(size) AS BIGINT) AS total_volume FROM [ticks] GROUP BY symbol_id, date_trunc('day', time) HAVING date_trunc('day', time) + INTERVAL 1 DAY <= (SELECT max(time) - INTERVAL 1 DAY FROM [ticks])")
+def _stream_vwap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days that the watermark, a day behind the last tick, has closed."""
+    found = _drained(streams.stream_vwap(_stream_ticks(spark, sf_dir)))
+    return found.select("symbol_id", F.col("bucket").cast("timestamp_ntz").alias("bucket"), F.round("vwap", 6).alias("vwap"), "total_volume")
+
+
+@query("stream_distinct_kinds", "SELECT DISTINCT symbol_id, kind FROM [ticks]")
+def _stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each symbol's kinds, once."""
+    return _drained(streams.stream_distinct(_stream_ticks(spark, sf_dir), ["symbol_id", "kind"])).select("symbol_id", "kind")
+
+
+@query("stream_alert_lifecycle")
+def _stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alerts of ``alert_lifecycle`` that a stream over the ticks has seen end."""
+    alerts.use_state_store(spark)
+    value = F.when(F.col("kind") == "signup", 0.0).otherwise(F.col("price"))
+    samples = _streamed(spark, ticks(spark, sf_dir).select("symbol_id", F.col("time").cast("timestamp").alias("time"), value.alias("value")))
+    return _drained(alerts.stream_alerts(samples, ["symbol_id"], 50, 120))
+
+
+CLOCKS = ["2024-01-12 00:00:00", "2024-01-20 00:00:00", "2024-01-31 00:00:00"]
+POLICY_SQL = f"""WITH w AS (SELECT k, CAST(c AS TIMESTAMP) - INTERVAL 10 DAY AS since, CAST(c AS TIMESTAMP) - INTERVAL 1 DAY AS until FROM (VALUES {', '.join(f"({k}, '{c}')" for k, c in enumerate(CLOCKS))}) v(k, c)),
+t AS (SELECT *, date_trunc('hour', time) AS bucket, event_id % 3 AS load FROM [ticks]), b AS (SELECT bucket, max(k) AS k FROM (SELECT DISTINCT bucket FROM t) d JOIN w ON bucket >= since AND bucket < until GROUP BY bucket)
+SELECT symbol_id, t.bucket, arg_min(price, struct_pack(a := time, e := event_id)) AS open, arg_max(price, struct_pack(a := time, e := event_id)) AS close, CAST(sum(size) AS BIGINT) AS volume, count(*) AS bar_count FROM t JOIN b ON t.bucket = b.bucket WHERE load <= k GROUP BY symbol_id, t.bucket"""
+
+
+@query("rollup_policy", POLICY_SQL)
+def _policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks come in three loads, each with rows of all days; after each the policy builds the hours from ten days to one day before its clock."""
+    tick = "symbol_id long, time timestamp_ntz, price double, size long, event_id long"
+    source, notes = (Stored(spark, shared_path(spark, n), f"{s}, bucket timestamp_ntz, part string", "part") for n, s in (("ticks", tick), ("notes", "symbol_id long, open boolean")))
+    target = Stored(spark, shared_path(spark, "hours"), "symbol_id long, bucket timestamp_ntz, open double, high double, low double, close double, volume long, bar_count long, day date", "day")
+    build = lambda rows: rollup.ohlcv(rows, "symbol_id", F.col("bucket"), tie="event_id")
+    policy = rollup.Policy(source, notes, target, "symbol_id", build, width=3600, start=10 * 86_400, end=86_400)
+    folder, kept, rows = shared_path(spark, "loads"), shared_path(spark, "checkpoint"), ticks(spark, sf_dir)
+    for load in range(len(CLOCKS)):
+        rows.where(F.col("event_id") % 3 == load).select("symbol_id", "time", "price", "size", "event_id").write.mode("append").parquet(folder)
+        stream = streams.follow(spark.readStream.schema(tick).parquet(folder), policy, lambda number: datetime.datetime.fromisoformat(CLOCKS[number]))
+        stream.option("checkpointLocation", kept).trigger(availableNow=True).start().awaitTermination()
+    return target.read().select("symbol_id", "bucket", "open", "close", "volume", "bar_count")
+
+
+@query("first_writer_wins", "SELECT symbol_id, bucket, min_by(price, struct_pack(l := event_id % 3, e := event_id)) AS open FROM (SELECT *, time_bucket(INTERVAL 10 MINUTE, time) AS bucket FROM [ticks] WHERE kind <> 'signup') t GROUP BY symbol_id, bucket")
+def _first_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three loads into a stored table of ten-minute bars, partitioned by day; signups have no open."""
+    store = Stored(spark, shared_path(spark, "bars"), "symbol_id long, bucket timestamp_ntz, open double, day date", "day")
+    bucket = F.window(F.col("time").cast("timestamp"), "10 minutes")["start"].cast("timestamp_ntz")
+    rows = ticks(spark, sf_dir).select("symbol_id", bucket.alias("bucket"), F.when(F.col("kind") != "signup", F.col("price")).alias("open"), F.to_date("time").alias("day"), "event_id")
+    for load in range(3):
+        ingest.insert_first(store, rows.where(F.col("event_id") % 3 == load), ["symbol_id", "bucket"], arrival="event_id")
+    return store.read().select("symbol_id", "bucket", "open")
+
+
 @query("latest_backup", "SELECT max(c_name) AS name FROM customer UNION ALL SELECT c_name FROM customer WHERE c_name LIKE '%000000017%'")
 def _latest_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last name, and that of a stamp."""
