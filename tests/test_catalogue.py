@@ -7,7 +7,7 @@ SF = "/root/testdata/sf0.001"
 #: Queries that are meant to give no rows on these tables.
 EMPTY = {"scan_missing", "absent_all", "portfolio_trades"}
 #: Held against plain Python in other tests.
-ELSEWHERE = {"portfolio_equity", "portfolio_trades", "portfolio_clipped", "sharpe_grid", "backtest_summary", "file_inventory", "stream_ohlcv_1h", "stream_alert_lifecycle"}
+ELSEWHERE = {"portfolio_equity", "portfolio_trades", "portfolio_clipped", "sharpe_grid", "backtest_summary", "file_inventory", "stream_ohlcv_1h", "stream_alert_lifecycle", "portfolio_strict"}
 
 
 @pytest.fixture(scope="module")

@@ -1,10 +1,14 @@
-"""Simulation: signals, fills and daily marks are Spark's; the cash fold sees days with orders only, one group a run."""
+"""Simulation: signals, fills and daily marks are windows and joins; only cash is folded, from a stream of candidates a run."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions.indicators import crossings, series, sma
 from tidemark.sources.shared import written
@@ -41,55 +45,121 @@ def single_stock(signals: DataFrame, keys: list[str], fee: float = 0.001) -> Dat
     return was.withColumn("equity", F.product(change).over(w.rowsBetween(Window.unboundedPreceding, 0))).select(*keys, "time", "held", "equity")
 
 
-ORDERS = "side int, shares double, fill double, cash double, no int"
-
-
-def _fold(frame: pd.DataFrame, run: str, key: str, capital: float, fee: float) -> pd.DataFrame:
-    """The orders of one run that were carried out, in turn: exits, then entries, each by name."""
-    cash, shares, out = capital, {}, []
-    for time, day in frame.sort_values(["time", key]).groupby("time", sort=True):
-        marks = dict(zip(day[key], day["mark"]))
-        fills = {k: f for k, f in zip(day[key], day["fill"]) if pd.notna(f)}
-        for name in day[key][day["exit"]]:
-            if name in shares and name in fills:
-                sold = shares.pop(name)
-                cash += sold * fills[name] * (1 - fee)
-                out.append((frame[run].iloc[0], name, time, -1, sold, fills[name], cash, len(out)))
-        new = [name for name in day[key][day["entry"]] if name not in shares]
-        if new:
-            allocation = (cash + sum(n * marks[k] for k, n in shares.items() if pd.notna(marks.get(k)))) / (len(shares) + len(new))
-            for name in new:
-                fill = fills.get(name, 0.0)
-                if fill <= 0:
-                    continue
-                cost = allocation * (1 - fee)
-                if cost > cash:
-                    cost = cash * (1 - fee)
-                if cost > 0:
-                    shares[name] = cost / fill
-                    cash -= cost * (1 + fee)
-                    out.append((frame[run].iloc[0], name, time, 1, shares[name], fill, cash, len(out)))
-    return pd.DataFrame(out, columns=[run, key, "time", "side", "shares", "fill", "cash", "no"])
-
-
-def portfolio(signals: DataFrame, run: str, key: str, *, capital: float = 100_000.0, fee: float = 0.001, carry: bool = False) -> tuple[DataFrame, DataFrame]:
+def _shifted(signals: DataFrame, run: str, key: str, carry: bool, booking: str) -> DataFrame:
+    """Each bar's orders with their fill, what a share counts for when equity is shared out (``worth``), and its mark at the close."""
+    w = Window.partitionBy(run, key).orderBy("time")
+    mark = F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if carry else F.col("close")
+    if booking == "signal":
+        rows = signals.withColumn("fill", F.lead("open").over(w)).withColumn("mark", mark)
+        return rows.select(run, key, "time", "mark", F.col("mark").alias("worth"), "entry", "exit", "fill")
+    if booking != "fill":
+        raise ValueError("orders are booked on the day of the signal or of the fill")
+    before = F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    late = {c: F.coalesce(F.lag(c).over(w), F.lit(False)) for c in ("entry", "exit")}
+    return signals.withColumns({"fill": F.col("open"), "mark": mark, "worth": before, **late}).select(run, key, "time", "mark", "worth", "entry", "exit", "fill")
+
+
+def candidates(rows: DataFrame, run: str, key: str) -> DataFrame:
+    """The bars the fold has to see: entries, exits of what may be held, and bars of what may be held on days with an entry.
+
+    A symbol may be held from an entry with a fill until the next exit with one.
+    """
+    before = Window.partitionBy(run, key).orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
+    change = F.when(F.col("entry") & (F.col("fill") > 0), True).when(F.col("exit") & F.col("fill").isNotNull(), False)
+    spans = rows.withColumn("_held", F.coalesce(F.last(change, ignorenulls=True).over(before), F.lit(False)))
+    days = rows.where("entry").select(run, "time").distinct().withColumn("_entries", F.lit(True))
+    marked = spans.where("entry or _held").join(days, [run, "time"], "left")
+    return marked.where("entry or exit or _entries").select(run, "time", key, "worth", "entry", "exit", "fill")
+
+
+class _Account:
+    """Cash and shares of one run, day by day."""
+
+    def __init__(self, run, capital: float, fee: float):
+        self.run, self.cash, self.fee, self.shares, self.number = run, capital, fee, {}, 0
+
+    def _booked(self, name, time, side: int, shares: float, fill: float) -> tuple:
+        self.number += 1
+        return self.run, name, time, side, shares, fill, self.cash, self.number
+
+    def trade(self, time, day: list[tuple]) -> Iterator[tuple]:
+        """The day's orders that are carried out: exits, then entries, each by name."""
+        for name, _, _, leave, fill in day:
+            if leave and fill is not None and name in self.shares:
+                sold = self.shares.pop(name)
+                self.cash += sold * fill * (1 - self.fee)
+                yield self._booked(name, time, -1, sold, fill)
+        new = [(name, fill) for name, _, entry, _, fill in day if entry and name not in self.shares]
+        if not new:
+            return
+        worth = sum(self.shares[name] * value for name, value, *_ in day if value is not None and name in self.shares)
+        share = (self.cash + worth) / (len(self.shares) + len(new))
+        for name, fill in new:
+            if fill is None or fill <= 0:
+                continue
+            cost = share * (1 - self.fee)
+            if cost > self.cash:
+                cost = self.cash * (1 - self.fee)
+            if cost > 0:
+                self.shares[name] = cost / fill
+                self.cash -= cost * (1 + self.fee)
+                yield self._booked(name, time, 1, self.shares[name], fill)
+
+
+def _folded(arrow: pa.Schema, capital: float, fee: float):
+    """Orders from bars sorted by run, time and symbol. Bars stream by: a day's candidates and the shares held are all that is kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        account, now, day = None, None, []
+
+        def closed() -> list[tuple]:
+            return list(account.trade(now, day)) if day else []
+
+        for batch in batches:
+            out = []
+            for name, time, *bar in zip(*(c.to_pylist() for c in batch.columns)):
+                if account is None or name != account.run or time != now:
+                    if account is not None:
+                        out += closed()
+                    day, now = [], time
+                    if account is None or name != account.run:
+                        account = _Account(name, capital, fee)
+                day.append(tuple(bar))
+            yield _batch(out, arrow)
+        if account is not None:
+            yield _batch(closed(), arrow)
+
+    return run
+
+
+def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * len(arrow), arrow)], schema=arrow)
+
+
+ORDERS = {"side": T.IntegerType(), "shares": T.DoubleType(), "fill": T.DoubleType(), "cash": T.DoubleType(), "no": T.IntegerType()}
+
+
+def portfolio(signals: DataFrame, run: str, key: str, *, capital: float = 100_000.0, fee: float = 0.001, carry: bool = False, booking: str = "signal") -> tuple[DataFrame, DataFrame]:
     """Daily equity and closed trades of each run over all its symbols.
 
-    Orders fill at the symbol's next open and are booked on the signal's day;
-    one without a fill lapses. All symbols that newly signal an entry share the
-    equity equally with those held, within the cash there is. A missing close
-    counts nothing that day; ``carry`` takes the last one instead. Returns
-    (``time, value, positions``; ``entry_time, exit_time, entry_fill, exit_fill,
-    net_return``), each with the run. The fold sees a run's days with orders;
-    holdings are marked daily by a join.
+    Orders fill at the symbol's next open; one without a fill lapses. All
+    symbols that newly signal an entry share the equity equally with those
+    held, within the cash there is. ``booking``: on the day of the ``signal``,
+    with shares counted at that day's close, or of the ``fill``, with shares
+    counted at the last close before it. A missing close counts nothing that
+    day; ``carry`` takes the last one instead. Returns (``time, value,
+    positions``; ``entry_time, exit_time, entry_fill, exit_fill,
+    net_return``), each with the run.
+
+    Cash depends on all orders before, so a run is folded in turn: its
+    candidates (see ``candidates``) stream through one task, sorted, without
+    being gathered. Fills, spans and daily marks are windows and joins.
     """
-    w = Window.partitionBy(run, key).orderBy("time")
-    mark = F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if carry else F.col("close")
-    rows = written(signals.withColumn("fill", F.lead("open").over(w)).withColumn("mark", mark).select(run, key, "time", "mark", "entry", "exit", "fill"), "signals")
-    days = rows.where("entry or exit").select(run, "time").distinct()
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    shape = f"{run} {kinds[run]}, {key} {kinds[key]}, time {kinds['time']}, {ORDERS}"
-    orders = written(rows.join(days, [run, "time"]).groupBy(run).applyInPandas(lambda frame: _fold(frame, run, key, capital, fee), shape), "orders")
+    rows = _shifted(signals, run, key, carry, booking)
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    shape = T.StructType([T.StructField(n, k) for n, k in ({run: kinds[run], key: kinds[key], "time": kinds["time"]} | ORDERS).items()])
+    ordered = candidates(rows, run, key).repartition(run).sortWithinPartitions(run, "time", key)
+    orders = written(ordered.mapInArrow(_folded(to_arrow_schema(shape), capital, fee), shape), "orders")
     of_symbol = Window.partitionBy(run, key).orderBy("no")
     spans = orders.withColumn("until", F.lead("time").over(of_symbol)).withColumn("exit_fill", F.lead("fill").over(of_symbol)).where("side = 1")
     held = spans.select(run, key, "shares", F.col("time").alias("since"), "until")

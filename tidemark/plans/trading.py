@@ -59,12 +59,22 @@ def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _portfolio(spark, sf_dir)[1]
 
 
-@query("portfolio_clipped")
-def _clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals on the whole universe with its warm-up, then the run from the start day on."""
+def clipped_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals on the whole universe with its warm-up, then those from the start day on."""
     bars = _universe(spark, sf_dir).select("symbol_id", "time", "open", "close")
     signals = backtest.signal_grid(bars, "symbol_id", [2], [3], mode="compat").withColumn("run", F.concat_ws("/", "n_fast", "n_slow"))
-    return backtest.portfolio(signals.where(half_open(F.col("time"), START, END)), "run", "symbol_id")[0]
+    return signals.where(half_open(F.col("time"), START, END))
+
+
+@query("portfolio_clipped")
+def _clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.portfolio(clipped_signals(spark, sf_dir), "run", "symbol_id")[0]
+
+
+@query("portfolio_strict")
+def _strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders booked on the day of their fill, the last close where one is missing."""
+    return backtest.portfolio(_signals(spark, sf_dir), "run", "symbol", carry=True, booking="fill")[0]
 
 
 @query("sharpe_grid")
