@@ -60,14 +60,46 @@ def summary(curve: DataFrame, key: str, *, value: str = "value", trades: DataFra
     return found.join(closed, key, "left")
 
 
-def against_benchmark(strategy: DataFrame, bench: DataFrame, key: str, *, rf: float = 0.0, periods: int = 252) -> DataFrame:
-    """Alpha, beta, tracking error and information ratio over common times; both have ``time, r``."""
+def against_benchmark(strategy: DataFrame, bench: DataFrame, key: str, *, rf: float = 0.0, periods: int = 252, full: bool = False) -> DataFrame:
+    """Alpha, beta, tracking error and information ratio over common times; both have ``time, r``.
+
+    ``full`` adds ``excess_return``, the difference of yearly growth, and both
+    Sharpe ratios. Growth runs from the end of the first common return, which
+    isn't part of it.
+    """
     b = bench.select("time", F.col("r").alias("b"))
     both = strategy.select(key, "time", F.col("r").alias("s")).join(b, "time").where("s is not null and b is not null")
     active = F.col("s") - F.col("b")
     beta = F.covar_samp("s", "b") / F.nullif(F.var_samp("b"), F.lit(ZERO))
     daily = rf / periods
-    return both.groupBy(key).agg(
-        F.round(beta, 4).alias("beta"), F.round(((F.avg("s") - daily) - beta * (F.avg("b") - daily)) * periods, 4).alias("alpha"),
-        F.round(F.stddev_samp(active) * F.sqrt(F.lit(float(periods))), 4).alias("tracking_error"),
-        F.round(F.avg(active) / F.nullif(F.stddev_samp(active), F.lit(ZERO)) * F.sqrt(F.lit(float(periods))), 4).alias("information_ratio"), F.count("*").alias("n"))
+    found = {
+        "beta": beta, "alpha": ((F.avg("s") - daily) - beta * (F.avg("b") - daily)) * periods, "tracking_error": F.stddev_samp(active) * F.sqrt(F.lit(float(periods))),
+        "information_ratio": F.avg(active) / F.nullif(F.stddev_samp(active), F.lit(ZERO)) * F.sqrt(F.lit(float(periods)))}
+    if full:
+        found |= {"excess_return": _growth("s") - _growth("b"), "strategy_sharpe": sharpe(F.col("s"), rf, periods), "benchmark_sharpe": sharpe(F.col("b"), rf, periods)}
+    return both.groupBy(key).agg(*(F.round(value, 4).alias(name) for name, value in found.items()), F.count("*").alias("n"))
+
+
+def _growth(r: str) -> Column:
+    """Yearly growth of a curve of returns, whose first point is the end of the first return."""
+    days = F.datediff(F.max("time"), F.min("time"))
+    whole = F.product(1 + F.col(r)) / F.nullif(1 + F.min_by(r, "time"), F.lit(ZERO))
+    return F.when((F.count("*") >= 2) & (days > 0) & (F.min_by(r, "time") > -1), F.pow(whole, F.lit(365.25) / F.nullif(days, F.lit(0))) - 1)
+
+
+def histogram(rows: DataFrame, key: str, value: str, bins: int) -> DataFrame:
+    """``bin, low, n`` of each key: equal bins from its least value to its largest, which lies in the last one; empty bins count 0.
+
+    A key with one value only has bins from half below it to half above. Nulls
+    and values that are no number take no part.
+    """
+    v = F.col(value)
+    known = rows.where(v.isNotNull() & ~F.isnan(v)).select(key, v.alias("_v"))
+    ends = known.groupBy(key).agg(F.min("_v").alias("low"), F.max("_v").alias("high"))
+    flat = F.col("low") == F.col("high")
+    ends = ends.select(key, F.when(flat, F.col("low") - 0.5).otherwise(F.col("low")).alias("low"), F.when(flat, F.lit(1.0)).otherwise(F.col("high") - F.col("low")).alias("width"))
+    place = F.least(F.floor((F.col("_v") - F.col("low")) / F.col("width") * bins), F.lit(bins - 1)).cast("int")
+    counts = known.join(ends, key).groupBy(key, place.alias("bin")).agg(F.count("*").alias("n"))
+    grid = ends.select(key, "low", "width", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    found = grid.join(counts, [key, "bin"], "left")
+    return found.select(key, "bin", (F.col("low") + F.col("width") * F.col("bin") / bins).alias("low"), F.coalesce("n", F.lit(0)).alias("n"))

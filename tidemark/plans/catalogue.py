@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.functions import indicators as ind
 from tidemark.functions import recursive
-from tidemark.operators import backtest, ingest, metrics, monitoring, rollup, text, universe
+from tidemark.operators import backtest, digest, ingest, metrics, monitoring, rollup, text, universe
 from tidemark.plans.registry import FOUND, SQL, query
 from tidemark.plans.shared_sql import RAW, for_check
 from tidemark.sources.market import announcements, bars_daily, constituents, table, ticker_of, ticks
@@ -26,17 +26,17 @@ def close() -> Column:
 
 
 def _ohlcv_sql(unit: str) -> str:
-    return f"SELECT symbol_id, date_trunc('{unit}', time) AS bucket, arg_min(price, time) AS open, max(price) AS high, min(price) AS low, arg_max(price, time) AS close, CAST(sum(size) AS BIGINT) AS volume, count(*) AS bar_count FROM [ticks] GROUP BY symbol_id, date_trunc('{unit}', time)"
+    return f"SELECT symbol_id, date_trunc('{unit}', time) AS bucket, arg_min(price, struct_pack(t := time, e := event_id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, struct_pack(t := time, e := event_id)) AS close, CAST(sum(size) AS BIGINT) AS volume, count(*) AS bar_count FROM [ticks] GROUP BY symbol_id, date_trunc('{unit}', time)"
 
 
 @query("ohlcv_1h", _ohlcv_sql("hour"))
 def _ohlcv_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.ohlcv(ticks(spark, sf_dir), "symbol_id", F.date_trunc("hour", "time").cast("timestamp_ntz"))
+    return rollup.ohlcv(ticks(spark, sf_dir), "symbol_id", F.date_trunc("hour", "time").cast("timestamp_ntz"), tie="event_id")
 
 
 @query("ohlcv_1d", _ohlcv_sql("day"))
 def _ohlcv_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.ohlcv(ticks(spark, sf_dir), "symbol_id", F.date_trunc("day", "time").cast("timestamp_ntz"))
+    return rollup.ohlcv(ticks(spark, sf_dir), "symbol_id", F.date_trunc("day", "time").cast("timestamp_ntz"), tie="event_id")
 
 
 @query("daily_vwap", "SELECT symbol_id, date_trunc('day', time) AS bucket, round(sum(price * size) / nullif(sum(size), 0), 6) AS vwap, CAST(sum(size) AS BIGINT) AS total_volume FROM [ticks] GROUP BY symbol_id, date_trunc('day', time)")
@@ -214,6 +214,20 @@ def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.against_benchmark(r.where("symbol <> '5-LOW'"), r.where("symbol = '5-LOW'"), "symbol")
 
 
+FULL_SQL = f"""SELECT symbol, round(beta, 4) AS beta, round(alpha, 4) AS alpha, round(tracking_error, 4) AS tracking_error, round(information_ratio, 4) AS information_ratio, n, round(pow(own / own_first, 365.25 / days) - pow(other / other_first, 365.25 / days), 4) AS excess_return, round(own_sharpe, 4) AS strategy_sharpe, round(other_sharpe, 4) AS benchmark_sharpe
+FROM (SELECT a.symbol, regr_slope(a.r, b.r) AS beta, (avg(a.r) - 0.043 / 252 - regr_slope(a.r, b.r) * (avg(b.r) - 0.043 / 252)) * 252 AS alpha, stddev_samp(a.r - b.r) * sqrt(252) AS tracking_error, avg(a.r - b.r) / stddev_samp(a.r - b.r) * sqrt(252) AS information_ratio, count(*) AS n,
+  exp(sum(ln(1 + a.r))) AS own, 1 + arg_min(a.r, a.time) AS own_first, exp(sum(ln(1 + b.r))) AS other, 1 + arg_min(b.r, a.time) AS other_first, date_diff('day', CAST(min(a.time) AS DATE), CAST(max(a.time) AS DATE)) AS days,
+  (avg(a.r) - 0.043 / 252) / stddev_samp(a.r) * sqrt(252) AS own_sharpe, (avg(b.r) - 0.043 / 252) / stddev_samp(b.r) * sqrt(252) AS other_sharpe
+  FROM {RETURNS} a JOIN {RETURNS} b ON a.time = b.time AND b.symbol = '5-LOW' WHERE a.symbol <> '5-LOW' AND a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY a.symbol) x"""
+
+
+@query("benchmark_excess", FULL_SQL)
+def _benchmark_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comparison with the yearly excess return and both Sharpe ratios, over a risk-free rate."""
+    r = metrics.with_returns(bars_daily(spark, sf_dir), "symbol", "close")
+    return metrics.against_benchmark(r.where("symbol <> '5-LOW'"), r.where("symbol = '5-LOW'"), "symbol", rf=0.043, full=True)
+
+
 EMA_SQL = "WITH RECURSIVE b AS (SELECT symbol, time, close, row_number() OVER (PARTITION BY symbol ORDER BY time) AS k FROM [daily]), e AS (SELECT symbol, time, k, close AS v FROM b WHERE k = 1 UNION ALL SELECT b.symbol, b.time, b.k, {a} * b.close + (1 - {a}) * e.v FROM e JOIN b ON b.symbol = e.symbol AND b.k = e.k + 1) SELECT symbol, time, round(v, 4) AS ema_12 FROM e"
 
 
@@ -320,7 +334,17 @@ def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("content_hash", "SELECT c_nationkey, md5(string_agg(h, '' ORDER BY h)) AS hash FROM (SELECT c_nationkey, md5(c_name) AS h FROM customer) x GROUP BY c_nationkey")
 def _content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.md5(F.concat_ws("", F.sort_array(F.collect_list(F.md5("c_name"))))).alias("hash"))
+    return digest.content_digest(table(spark, sf_dir, "customer"), "c_nationkey", F.col("c_name"))
+
+
+@query("content_changes", """WITH now AS (SELECT c_nationkey, md5(string_agg(md5(c_name), '' ORDER BY md5(c_name))) AS h FROM customer WHERE c_nationkey <> 3 GROUP BY c_nationkey),
+old AS (SELECT c_nationkey, md5(string_agg(md5(c_name), '' ORDER BY md5(c_name))) AS h FROM customer WHERE c_nationkey <> 4 AND (c_nationkey > 9 OR c_custkey % 2 = 0) GROUP BY c_nationkey)
+SELECT coalesce(now.c_nationkey, old.c_nationkey) AS c_nationkey, CASE WHEN old.h IS NULL THEN 'new' WHEN now.h IS NULL THEN 'gone' ELSE 'changed' END AS change FROM now FULL JOIN old ON now.c_nationkey = old.c_nationkey WHERE now.h IS DISTINCT FROM old.h""")
+def _content_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests against those stored earlier: one nation was added since, one is gone, some had fewer customers."""
+    c = table(spark, sf_dir, "customer")
+    stored = digest.content_digest(c.where("c_nationkey <> 4 and (c_nationkey > 9 or c_custkey % 2 = 0)"), "c_nationkey", F.col("c_name"))
+    return digest.changed(digest.content_digest(c.where("c_nationkey <> 3"), "c_nationkey", F.col("c_name")), stored, "c_nationkey")
 
 
 def _counter(spark: SparkSession, sf_dir: str) -> DataFrame:

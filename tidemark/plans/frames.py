@@ -146,7 +146,7 @@ def _week_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("first_last_agg")
 def _first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ticks(spark, sf_dir).groupBy("symbol_id").agg(F.min_by("price", "time").alias("first_price"), F.max_by("price", "time").alias("last_price"))
+    return ticks(spark, sf_dir).groupBy("symbol_id").agg(F.min_by("price", F.struct("time", "event_id")).alias("first_price"), F.max_by("price", F.struct("time", "event_id")).alias("last_price"))
 
 
 @query("last_bar")
@@ -192,6 +192,21 @@ def _histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("symbol", F.floor((F.col("r") + 1) / 0.25).alias("bin")).agg(F.count("*").alias("n"))
 
 
+@query("return_histogram_80", """WITH r AS (SELECT * FROM (SELECT symbol, close / lag(close) OVER (PARTITION BY symbol ORDER BY time) - 1 AS r FROM [daily]) x WHERE r IS NOT NULL), e AS (SELECT symbol, min(r) AS low, max(r) - min(r) AS width FROM r GROUP BY symbol)
+SELECT e.symbol, CAST(k AS INTEGER) AS bin, round(low + width * k / 80, 9) AS low, (SELECT count(*) FROM r WHERE r.symbol = e.symbol AND least(floor((r.r - e.low) / e.width * 80), 79) = k) AS n FROM e, range(80) g(k)""")
+def _histogram_80(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily returns of each symbol in 80 bins between the least and the largest."""
+    r = bars_daily(spark, sf_dir).select("symbol", ind.period_return(F.col("close"), _by_symbol()).alias("r"))
+    return metrics.histogram(r, "symbol", "r", 80).withColumn("low", F.round("low", 9))
+
+
+@query("argmax_per_key", "SELECT o_custkey, arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) AS latest, arg_max(o_totalprice, struct_pack(d := o_orderdate, k := o_orderkey)) AS price FROM orders GROUP BY o_custkey")
+def _argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's order of the latest date; of equal dates the largest key."""
+    at = F.struct("o_orderdate", "o_orderkey")
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", at).alias("latest"), F.max_by("o_totalprice", at).alias("price"))
+
+
 @query("label_values")
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks(spark, sf_dir).select("kind").distinct()

@@ -57,10 +57,10 @@ def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list with a byte-order mark before its header, spaces around values and rows without a ticker."""
     path = shared_path(spark, "members")
     c = table(spark, sf_dir, "customer")
-    lines = c.select(F.concat_ws(",", F.concat(F.lit(" "), F.lower("c_name"), F.lit(" ")), F.lit("a name"), F.concat("c_mktsegment", F.lit(" "))).alias("value"))
-    head = spark.range(1).select(F.explode(F.array(F.lit("﻿Ticker,Name,Sector"), F.lit(",no ticker,BUILDING"))).alias("value"))
-    # A header is a file's first line, so the list is one file, as it comes.
-    head.withColumn("k", F.lit(0)).unionByName(lines.withColumn("k", F.lit(1))).coalesce(1).sortWithinPartitions("k", F.desc("value")).select("value").write.text(path)
+    lines = c.select(F.concat(F.lit(" "), F.lower("c_name"), F.lit(" ")).alias("\ufeffTicker"), F.lit("a name").alias("Name"), F.concat("c_mktsegment", F.lit(" ")).alias("Sector"))
+    nameless = spark.range(1).select(F.lit("").alias("\ufeffTicker"), F.lit("no ticker").alias("Name"), F.lit("BUILDING").alias("Sector"))
+    # Each file of the list has its own header.
+    lines.unionByName(nameless).write.options(header=True, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return csv_members(spark, path, sector="BUILDING").select("ticker", "sector")
 
 
@@ -245,6 +245,13 @@ def _absent_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitoring.absent(rows.select("symbol_id"), rows, ["symbol_id"], "2024-01-15 00:00:00", 600, whole=True)
 
 
+@query("absent_all_fires", "SELECT DISTINCT symbol_id FROM [ticks]")
+def _absent_all_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long after the last sample no name has any, so the alert fires for all."""
+    rows = ticks(spark, sf_dir)
+    return monitoring.absent(rows.select("symbol_id"), rows, ["symbol_id"], "2025-01-01 00:00:00", 60, whole=True)
+
+
 @query("head_symbols", "SELECT symbol_id, count(*) AS n FROM [ticks] GROUP BY symbol_id ORDER BY symbol_id LIMIT 20")
 def _head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 20 symbols by id: the limit is what is asked for."""

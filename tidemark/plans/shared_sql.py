@@ -36,7 +36,7 @@ RAW = {
     # aggregates
     "time_bucket_day": "SELECT date_trunc('day', time) AS bucket, count(*) AS n, round(sum(price), 2) AS total FROM [ticks] GROUP BY date_trunc('day', time)",
     "time_bucket_week": "SELECT date_trunc('week', time) AS bucket, count(*) AS n FROM [ticks] GROUP BY date_trunc('week', time)",
-    "first_last_agg": "SELECT symbol_id, min_by(price, time) AS first_price, max_by(price, time) AS last_price FROM [ticks] GROUP BY symbol_id",
+    "first_last_agg": "SELECT symbol_id, min_by(price, struct_pack(t := time, e := event_id)) AS first_price, max_by(price, struct_pack(t := time, e := event_id)) AS last_price FROM [ticks] GROUP BY symbol_id",
     "last_bar": "SELECT symbol_id, max(time) AS last_time FROM [ticks] GROUP BY symbol_id",
     "table_counts": "SELECT 'orders' AS name, count(*) AS n FROM {orders} UNION ALL SELECT 'events', count(*) FROM {events} UNION ALL SELECT 'customer', count(*) FROM {customer} UNION ALL SELECT 'lineitem', count(*) FROM {lineitem} UNION ALL SELECT 'part', count(*) FROM {part}",
     "ratio_nullif": "SELECT l_returnflag, round(sum(l_extendedprice) / nullif(sum(l_quantity), 0), 1) AS ratio FROM {lineitem} GROUP BY l_returnflag",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import recursive
+from tidemark.functions.indicators import crossings, series, sma_partial
 from tidemark.operators import backtest, metrics, rollup, universe
 from tidemark.plans.registry import query
 from tidemark.sources.market import bars_daily, half_open, listings, ticks
@@ -114,6 +115,20 @@ def _warmup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.warmup_violations(_signals(spark, sf_dir), ["run", "symbol"], "n_slow").agg(F.count("*").alias("violations"))
 
 
+EARLY_SQL = """SELECT symbol, CAST(count(*) AS BIGINT) AS violations FROM (SELECT symbol, k, fast > slow AND lag(fast) OVER w <= lag(slow) OVER w AS up, fast < slow AND lag(fast) OVER w >= lag(slow) OVER w AS down
+  FROM (SELECT symbol, time, row_number() OVER (PARTITION BY symbol ORDER BY time) AS k, avg(close) OVER (PARTITION BY symbol ORDER BY time ROWS 9 PRECEDING) AS fast, avg(close) OVER (PARTITION BY symbol ORDER BY time ROWS 49 PRECEDING) AS slow FROM [daily]) a WINDOW w AS (PARTITION BY symbol ORDER BY time)) b WHERE k < 50 AND (up OR down) GROUP BY symbol"""
+
+
+@query("warmup_breaches", EARLY_SQL)
+def _early(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Averages that don't wait for their window signal too early: the check must count those."""
+    w = series("symbol")
+    rows = bars_daily(spark, sf_dir).select("symbol", "time", sma_partial(F.col("close"), w, 10).alias("fast"), sma_partial(F.col("close"), w, 50).alias("slow"))
+    entry, leave = crossings(F.col("fast"), F.col("slow"), w)
+    signals = rows.select("symbol", "time", F.lit(50).alias("n_slow"), entry.alias("entry"), leave.alias("exit"))
+    return backtest.warmup_violations(signals, ["symbol"], "n_slow").groupBy("symbol").agg(F.count("*").alias("violations"))
+
+
 ATR_SQL = """WITH RECURSIVE b AS (SELECT symbol, time, greatest(high - low, abs(high - p), abs(low - p)) AS tr, row_number() OVER (PARTITION BY symbol ORDER BY time) AS k FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY time) AS p FROM [daily]) a),
 e AS (SELECT symbol, time, k, tr AS v FROM b WHERE k = 1 UNION ALL SELECT b.symbol, b.time, b.k, b.tr / 14 + e.v * 13 / 14 FROM e JOIN b ON b.symbol = e.symbol AND b.k = e.k + 1)
 SELECT symbol, time, CASE WHEN k >= 14 THEN round(v, 3) END AS atr_wilder FROM e"""

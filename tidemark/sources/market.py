@@ -6,7 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+#: Notices of a broker that its data connections are fine.
+HARMLESS = (2104, 2106, 2158)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the known tables; another name is an error before anything is read."""
+    if name not in TABLES:
+        raise ValueError(f"unknown table: {name}")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,6 +45,11 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("c_custkey").alias("symbol_id"), F.col("c_name").alias("ticker"), F.col("n_name").alias("exchange"), F.col("r_name").alias("market"), F.col("c_mktsegment").alias("sec_type"))
 
 
+def notable(errors: DataFrame, code: str = "code") -> DataFrame:
+    """Messages of a broker without the harmless ones; a message without a code stays."""
+    return errors.where(F.coalesce(~F.col(code).isin(*HARMLESS), F.lit(True)))
+
+
 def half_open(time: Column, start: str, end: str) -> Column:
     """Times from the start day to the end day, both whole."""
     return (time >= F.lit(start).cast("timestamp_ntz")) & (time < F.expr(f"timestamp_ntz'{end} 00:00:00' + interval 1 day"))
