@@ -8,8 +8,9 @@ its best in its leaf. Then rounds of NN-descent: every node gathers its
 neighbours and a sample of those it is a neighbour of, compares them with each
 other, and tells each of better ones; joins bring the vectors. They end when a
 round changes less than ``STILL`` of the links. A query starts at its own node;
-rounds of joins expand the best nodes it hasn't expanded, until none of the
-best ``BEAM`` is left. Graph and search use half-precision vectors; the result
+rounds of joins expand the best nodes it hasn't expanded, along links and
+against them, until none of the best is left; how many it keeps grows with the
+logarithm of the number of nodes (``beam``). Graph and search use half-precision vectors; the result
 is ranked again in double precision on the original ones.
 
 Defined results: vectors that are null, empty, zero, or hold null or
@@ -20,6 +21,7 @@ all are returned.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,8 @@ DEGREE, REVERSE, TELL = 32, 16, 6
 TREES, LEAF, LEAF_LINKS, LEAF_ROWS = 8, 256, 16, 16_384
 #: The share of links that may still change when descent ends.
 STILL = 0.03
-BEAM, EXPAND = 256, 64
+#: Best nodes a search keeps among up to SIZE nodes; half as many more for each doubling beyond. Nodes expanded in a round, and those followed against a link's direction.
+BEAM, SIZE, EXPAND, BACK = 256, 10_000, 64, 64
 #: Nodes for each bucket of the table that searches join with.
 BUCKET_NODES = 2048
 SEED = 11
@@ -132,10 +135,15 @@ def _in_leaves(nodes: DataFrame, count: int) -> DataFrame:
     return wide.mapInArrow(linked, EDGES)
 
 
-def _around(edges: DataFrame) -> DataFrame:
+def beam(count: int) -> int:
+    """Best nodes that a search among ``count`` nodes keeps."""
+    return round(BEAM * (1 + max(0.0, math.log2(max(count, 1) / SIZE)) / 2))
+
+
+def _around(edges: DataFrame, most: int = REVERSE) -> DataFrame:
     """Each node ``a`` with its links and a sample of those that link to it."""
     back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    sampled = back.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b", "a"), "b"))).where(F.col("k") <= REVERSE).drop("k")
+    sampled = back.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b", "a"), "b"))).where(F.col("k") <= most).drop("k")
     return edges.select("a", "b").unionByName(sampled).distinct()
 
 
@@ -185,7 +193,7 @@ POOL = "q long, vec binary, pool array<long>, scores array<float>, done array<bo
 
 def _adjacency(edges: DataFrame, nodes: DataFrame, count: int) -> Bucketed:
     """Each node with its neighbours' ids and vectors, bucketed by node so that searches don't shuffle it."""
-    lists = _around(edges).join(nodes.select(F.col("node").alias("b"), "vec"), "b").groupBy("a").agg(F.collect_list(F.struct("b", "vec")).alias("near"))
+    lists = _around(edges, BACK).join(nodes.select(F.col("node").alias("b"), "vec"), "b").groupBy("a").agg(F.collect_list(F.struct("b", "vec")).alias("near"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,9 +207,9 @@ def _adjacency(edges: DataFrame, nodes: DataFrame, count: int) -> Bucketed:
     return Bucketed(lists.mapInArrow(joined, "a long, ids array<long>, vecs binary").repartition(buckets, "a"), "a", "around", buckets)
 
 
-def _search_round(state: DataFrame, around: DataFrame) -> DataFrame:
+def _search_round(state: DataFrame, around: DataFrame, most: int) -> DataFrame:
     open_ = F.slice(F.filter(F.arrays_zip("pool", "done"), lambda x: ~x["done"]), 1, EXPAND)
-    worst = F.when(F.size("pool") >= BEAM, F.array_min("scores")).otherwise(F.lit(-9.0)).cast("float")
+    worst = F.when(F.size("pool") >= most, F.array_min("scores")).otherwise(F.lit(-9.0)).cast("float")
     front = state.select("q", "vec", worst.alias("worst"), F.explode(F.transform(open_, lambda x: x["pool"])).alias("a"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +238,7 @@ def _search_round(state: DataFrame, around: DataFrame) -> DataFrame:
                     left -= not d
                     done[node] = d or left >= 0
                 scores = dict(zip(row["ids"] or [], row["s"] or [])) | dict(zip(row["pool"], row["scores"]))
-                pool = sorted(scores, key=lambda node: (-scores[node], node))[:BEAM]
+                pool = sorted(scores, key=lambda node: (-scores[node], node))[:most]
                 out.append({"q": row["q"], "vec": row["vec"], "pool": pool, "scores": [scores[n] for n in pool], "done": [done.get(n, False) for n in pool]})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("q", pa.int64()), ("vec", pa.binary()), ("pool", pa.list_(pa.int64())), ("scores", pa.list_(pa.float32())), ("done", pa.list_(pa.bool_()))]))
 
@@ -243,7 +251,7 @@ def graph_search(queries: DataFrame, edges: DataFrame, nodes: DataFrame, count:
     start = queries.select("q", "vec", F.array("q").alias("pool"), F.array(F.lit(9.0).cast("float")).alias("scores"), F.array(F.lit(False)).alias("done"))
     now = Kept(start, "search")
     while not now.df.where(F.exists("done", lambda d: ~d)).isEmpty():
-        then = Kept(_search_round(now.df, around.df), "search")
+        then = Kept(_search_round(now.df, around.df, beam(count)), "search")
         now.drop()
         now = then
     around.drop()
