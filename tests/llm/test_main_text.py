@@ -1,4 +1,5 @@
 import time
+import tracemalloc
 
 import pytest
 
@@ -11,7 +12,7 @@ FOOT = '<footer>Copyright, all rights reserved</footer>'
 
 
 def texts(pages):
-    return main_text.main_texts(pages, main_text.trained())
+    return list(main_text.main_texts(pages, main_text.trained()))
 
 
 def test_article_among_boilerplate():
@@ -32,7 +33,7 @@ def test_broken_mark_up():
 def test_no_choice_contradicts_an_ancestor():
     for page in [main_text._made(main_text.random.Random(k))[0] for k in range(40)]:
         nodes = main_text.parse(page)
-        kept = main_text.decode(nodes, main_text.odds(main_text.features(nodes), main_text.trained()))
+        kept = main_text.decode(nodes, main_text.odds(*main_text.features(nodes), main_text.trained()))
         assert all(n.parent is None or id(n.parent) in kept for n in nodes if id(n) in kept)
 
 
@@ -99,3 +100,16 @@ def test_elements_without_text_end_where_browsers_end_them():
     ]
     assert [(k, t) for k, t in enumerate(texts(pages)) if t != WANTED] == []
     assert [n.tag for n in main_text.parse(whole)] == [n.tag for n in main_text.parse(f"<html>{body}</html>")]
+
+
+def test_pages_of_many_nodes(monkeypatch):
+    """Texts don't depend on which pages are scored together; what is held grows with the nodes of a batch, not of all pages."""
+    long = "<html><body><article>" + "".join(f"<div class='c{k % 7}'><p>zword <a href=x>link</a> more words in line {k}.</p></div>" for k in range(1000)) + "</article><div class='footer'><p>m</p></div></body></html>"
+    pages = [long, None, "<p>short</p>", long, ""] * 4
+    together = list(main_text.main_texts(pages, main_text.trained()))
+    monkeypatch.setattr(main_text, "NODES", 1)
+    assert list(main_text.main_texts(pages, main_text.trained())) == together
+    tracemalloc.start()
+    assert sum(1 for _ in main_text.main_texts((long for _ in range(60)), main_text.trained())) == 60
+    assert tracemalloc.get_traced_memory()[1] < 40_000_000
+    tracemalloc.stop()

@@ -27,7 +27,7 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from zlib import crc32
 
@@ -38,6 +38,8 @@ from pyspark.sql import types as T
 
 TRAINING_PAGES, TREES, DEPTH, RATE, BINS, SEED = 400, 60, 3, 0.25, 16, 3
 BUCKETS = 96
+#: Nodes that are scored together, if no single page has more.
+NODES = 8192
 
 #: A tag from behind its name on; a quote counts behind an equals sign only.
 REST = re.compile(r"((?:[^>=\"']++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?|[\"'])*+)>")
@@ -215,34 +217,33 @@ def parse(page: str) -> list[Node]:
             open_.push(tag, child)
 
 
-def features(nodes: list[Node]) -> np.ndarray:
-    """A row for each node."""
-    index = {id(n): k for k, n in enumerate(nodes)}
+def features(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
+    """For each node its words as marks in ``BUCKETS`` columns of a byte, and its numbers."""
     n = len(nodes)
-    text, links, tags = (np.array([getattr(x, f) for x in nodes], dtype=float) for f in ("text", "links", "tags"))
-    paragraphs = np.array([x.tag == "p" for x in nodes], dtype=float)
-    count, before, up_bad, up_good = np.ones(n), np.zeros(n), np.zeros(n), np.zeros(n)
-    bad = np.array([KINDS.get(x.tag, 0) in (1, 2, 3, 4, 5) for x in nodes], dtype=float)
-    good = np.array([KINDS.get(x.tag, 0) == 6 for x in nodes], dtype=float)
-    hashed = np.zeros((n, BUCKETS))
+    index = {id(x): k for k, x in enumerate(nodes)}
+    parents = [index[id(x.parent)] if x.parent else 0 for x in nodes]
+    kinds = [KINDS.get(x.tag, 0) for x in nodes]
+    words = np.zeros((n, BUCKETS), np.uint8)
     for k, x in enumerate(nodes):
         for word in x.words:
-            hashed[k, crc32(word.encode()) % BUCKETS] = 1
-    before[1:] = np.cumsum(text)[:-1]
-    parents = [index[id(x.parent)] if x.parent else 0 for x in nodes]
-    for k in range(n - 1, 0, -1):
-        p = parents[k]
-        for values in (text, links, tags, paragraphs, count):
-            values[p] += values[k]
+            words[k, crc32(word.encode()) % BUCKETS] = 1
+    sums = [[x.text for x in nodes], [x.links for x in nodes], [x.tags for x in nodes], [x.tag == "p" for x in nodes], [1] * n]
+    before = np.zeros(n)
+    before[1:] = np.cumsum(sums[0])[:-1]
+    for values in sums:
+        for k in range(n - 1, 0, -1):
+            values[parents[k]] += values[k]
+    up_bad, up_good = [0] * n, [0] * n
     for k in range(1, n):
         p = parents[k]
-        up_bad[k], up_good[k] = up_bad[p] + bad[p], up_good[p] + good[p]
-    whole = max(text[0], 1)
+        up_bad[k], up_good[k] = up_bad[p] + (0 < kinds[p] < 6), up_good[p] + (kinds[p] == 6)
+    text, links, tags, paragraphs, count = (np.array(values, dtype=float) for values in sums)
     siblings = np.array([len(x.parent.kids) if x.parent else 1 for x in nodes], dtype=float)
     order = np.array([x.order for x in nodes], dtype=float)
-    kind = np.array([KINDS.get(x.tag, 0) for x in nodes], dtype=float)
-    return np.column_stack([
-        hashed, kind, up_bad, up_good, np.array([x.depth for x in nodes]), np.log1p(text), links / np.maximum(text, 1), tags / np.maximum(text, 1),
+    kind = np.array(kinds, dtype=float)
+    whole = max(text[0], 1)
+    return words, np.column_stack([
+        kind, up_bad, up_good, np.array([x.depth for x in nodes]), np.log1p(text), links / np.maximum(text, 1), tags / np.maximum(text, 1),
         text / whole, np.log1p(count), paragraphs, siblings, order / np.maximum(siblings - 1, 1), before / whole, kind[parents], text / np.maximum(text[parents], 1), text / count,
     ])
 
@@ -313,7 +314,7 @@ def _made(rng: random.Random) -> tuple[str, str]:
     return f"<!DOCTYPE html><html><body>{head}{main}{tail}</body></html>", "z"
 
 
-def _training() -> tuple[np.ndarray, np.ndarray]:
+def _training() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = random.Random(SEED)
     rows, labels = [], []
     for _ in range(TRAINING_PAGES):
@@ -325,7 +326,17 @@ def _training() -> tuple[np.ndarray, np.ndarray]:
                 own[id(x.parent)] = True
         rows.append(features(nodes))
         labels += [own[id(x)] for x in nodes]
-    return np.vstack(rows), np.array(labels, dtype=float)
+    words, numbers = (np.vstack(part) for part in zip(*rows))
+    return words, numbers, np.array(labels, dtype=float)
+
+
+def _binned(words: np.ndarray, numbers: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """Columns of a byte: words as they are, numbers by their bin."""
+    out = np.empty((len(words), BUCKETS + len(edges)), np.uint8)
+    out[:, :BUCKETS] = words
+    for f, e in enumerate(edges):
+        out[:, BUCKETS + f] = np.searchsorted(e, numbers[:, f], side="right")
+    return out
 
 
 def _grow(binned: np.ndarray, gradient: np.ndarray, weight: np.ndarray) -> list[tuple[int, int]]:
@@ -360,9 +371,9 @@ def _grow(binned: np.ndarray, gradient: np.ndarray, weight: np.ndarray) -> list[
 @lru_cache(maxsize=1)
 def trained() -> tuple:
     """Bin edges, a base and the trees."""
-    x, y = _training()
-    edges = [np.array([0.5]) if f < BUCKETS else np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
-    binned = np.column_stack([np.searchsorted(e, x[:, f], side="right") for f, e in enumerate(edges)])
+    words, numbers, y = _training()
+    edges = [np.unique(np.quantile(numbers[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(numbers.shape[1])]
+    binned = _binned(words, numbers, edges)
     base = math.log(y.mean() / (1 - y.mean()))
     score, trees = np.full(len(y), base), []
     for _ in range(TREES):
@@ -374,15 +385,15 @@ def trained() -> tuple:
     return edges, base, trees
 
 
-def odds(x: np.ndarray, model: tuple) -> np.ndarray:
+def odds(words: np.ndarray, numbers: np.ndarray, model: tuple) -> np.ndarray:
     edges, base, trees = model
-    binned = np.column_stack([np.searchsorted(e, x[:, f], side="right") for f, e in enumerate(edges)])
-    total = np.full(len(x), base)
+    binned = _binned(words, numbers, edges)
+    rows, total = np.arange(len(binned)), np.full(len(binned), base)
     for splits, values in trees:
-        place = np.zeros(len(x), dtype=np.int64)
+        place = np.zeros(len(binned), dtype=np.int64)
         split_f, split_k = np.array([s[0] for s in splits]), np.array([s[1] for s in splits])
         for _ in range(DEPTH):
-            place = 2 * place + 1 + (binned[np.arange(len(x)), split_f[place]] > split_k[place])
+            place = 2 * place + 1 + (binned[rows, split_f[place]] > split_k[place])
         total += values[place - ((1 << DEPTH) - 1)]
     return total
 
@@ -413,16 +424,26 @@ def _text(nodes: list[Node], kept: set[int]) -> str:
     return " ".join("".join(parts).split())
 
 
-def main_texts(pages: list[str | None], model: tuple) -> list[str]:
-    trees = [parse(p or "") for p in pages]
-    if not trees:
-        return []
-    score = odds(np.vstack([features(t) for t in trees]), model)
-    out, at = [], 0
-    for nodes in trees:
-        out.append(_text(nodes, decode(nodes, score[at : at + len(nodes)])))
+def main_texts(pages: Iterable[str | None], model: tuple) -> Iterator[str]:
+    """The main text of each page; pages are scored together until they hold ``NODES`` nodes."""
+    held, count = [], 0
+    for page in pages:
+        nodes = parse(page or "")
+        held.append((nodes, *features(nodes)))
+        count += len(nodes)
+        if count >= NODES:
+            yield from _scored(held, model)
+            held, count = [], 0
+    yield from _scored(held, model)
+
+
+def _scored(held: list[tuple], model: tuple) -> Iterator[str]:
+    if not held:
+        return
+    score, at = odds(np.vstack([h[1] for h in held]), np.vstack([h[2] for h in held]), model), 0
+    for nodes, *_ in held:
+        yield _text(nodes, decode(nodes, score[at : at + len(nodes)]))
         at += len(nodes)
-    return out
 
 
 def extract(df: DataFrame, html: str = "html", name: str = "text") -> DataFrame:
@@ -434,7 +455,7 @@ def extract(df: DataFrame, html: str = "html", name: str = "text") -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                texts = main_texts(batch.column(batch.num_columns - 1).to_pylist(), model)
+                texts = list(main_texts((page.as_py() for page in batch.column(batch.num_columns - 1)), model))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*batch.schema.names[:-1], name, "n_chars"])
 
     schema = T.StructType([*rest.schema.fields[:-1], T.StructField(name, T.StringType()), T.StructField("n_chars", T.LongType())])
