@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import recursive
 from tidemark.operators import scans
 
 SCHEMA = "name string, time timestamp_ntz, tie int, value double"
@@ -73,6 +74,28 @@ def test_averages_after_very_long_gaps(spark):
     pd.testing.assert_series_equal(got["e"].astype(float), got["value"].ewm(alpha=2 / 13, adjust=False).mean(), check_names=False, rtol=1e-12)
 
 
+@pytest.mark.parametrize("width", [None, 40 * 86_400])
+def test_indicators_of_bars_with_gaps_match_pandas(spark, width):
+    rng = random.Random(12)
+    rows = [(name, at(86_400 * k), rng.uniform(50, 60), rng.uniform(30, 40), None if rng.random() < 0.15 else rng.uniform(40, 50)) for name in "ab" for k in range(120)]
+    bars = spark.createDataFrame(rows, "symbol string, time timestamp_ntz, high double, low double, close double")
+    both = recursive.macd_rsi(bars, "symbol", width=width).join(recursive.atr_wilder(bars, "symbol", width=width), ["symbol", "time"]).join(recursive.ema(bars.drop("high", "low"), "symbol", (12, 26), width=width), ["symbol", "time"])
+    for _, own in both.join(bars.drop("close"), ["symbol", "time"]).orderBy("symbol", "time").toPandas().groupby("symbol"):
+        close = own["close"].astype(float)
+        fast, slow = (close.ewm(span=n, adjust=False).mean() for n in (12, 26))
+        change = close.diff()
+        up, down = (part.ewm(alpha=1 / 14, adjust=False, min_periods=14).mean() for part in (change.clip(lower=0), (-change).clip(lower=0)))
+        reach = pd.concat([own["high"] - own["low"], (own["high"] - close.shift()).abs(), (own["low"] - close.shift()).abs()], axis=1).max(axis=1)
+        want = {"ema_12": fast, "ema_26": slow, "macd": fast - slow, "macd_signal": (fast - slow).ewm(span=9, adjust=False).mean(), "rsi": 100 * up / (up + down), "atr_wilder": reach.ewm(alpha=1 / 14, adjust=False, min_periods=14).mean()}
+        for name, values in want.items():
+            pd.testing.assert_series_equal(own[name].astype(float), values, check_names=False, rtol=1e-10)
+
+
+def test_spans_below_one_are_refused(spark):
+    with pytest.raises(ValueError):
+        recursive.ema(spark.createDataFrame([], "symbol string, time timestamp_ntz, close double"), "symbol", (0,))
+
+
 def test_nothing_and_wrong_weights(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert scans.recursive_averages(none, ["name"], {"e": ("value", 0.5)}).isEmpty()
