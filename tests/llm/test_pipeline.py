@@ -1,6 +1,9 @@
+from collections import Counter
 from itertools import combinations
 
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_near_duplicates import plain_fingerprint, roots
@@ -48,9 +51,30 @@ def test_all_stages(spark, docs, sf):
 
 
 def test_edges(spark, edge, nothing, sf):
+    """Nulls, blank and long texts, repeats and rows without an id, through each stage by itself."""
+    rows = Counter((r["doc_id"], r["text"]) for r in edge.collect())
+    found = {}
     for name, stage in corpus_pipeline.STAGES:
-        stage(spark, edge, sf).collect()
+        found[name] = stage(spark, edge, sf).collect()
         assert stage(spark, nothing, sf).count() == 0, name
+    kept = Counter((r["doc_id"], r["text"]) for r in found["language"])
+    assert kept and not kept - rows and all(r["lang"] for r in found["language"])
+    assert all(any(c.isalpha() for c in text or "") for _, text in kept)
+    assert all(r["n_chars"] == len(r["text"]) for r in found["lines"])
+    # One document of each group stays; texts of equal fingerprint are one group whatever their ids.
+    prints = {text: plain_fingerprint(text) for _, text in rows}
+    groups = roots(range(len(texts := list(prints))), [(i, j) for (i, a), (j, b) in combinations(enumerate(texts), 2) if (prints[a] ^ prints[b]).bit_count() <= 3])
+    left = [groups[texts.index(r["text"])] for r in found["near_copies"]]
+    assert sorted(left) == sorted(set(groups.values()))
+    mixed = Counter((r["doc_id"], r["text"]) for r in found["mixed"])
+    assert mixed and all(n <= corpus_pipeline.EPOCHS * rows[k] for k, n in mixed.items())
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokens = sum(n * (1 + len(library.encode(text or "", add_special_tokens=False).ids)) for (_, text), n in rows.items())
+    assert sum(r["length"] for r in found["packed"]) == tokens and sum(r["piece"] == 0 for r in found["packed"]) == edge.count()
+    held = Counter()
+    for r in found["packed"]:
+        held[r["sequence_id"]] += r["length"]
+    assert max(held.values()) <= 2048
 
 
 def test_near_copies_keep_one_of_each_group_of_null_and_equal_ids(spark, docs, sf):
