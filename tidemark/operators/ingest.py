@@ -63,8 +63,12 @@ def conform(rows: DataFrame, schema: StructType) -> DataFrame:
 
 
 def export(rows: DataFrame, path: str, parts: list[str], order: list[str]) -> None:
-    """Partitioned Parquet; only the partitions present in ``rows`` are replaced."""
-    rows.repartition(*parts).sortWithinPartitions(*parts, *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    """Partitioned Parquet; only the partitions present in ``rows`` are replaced.
+
+    Rows are dealt by ranges of partition and order, so a large partition is
+    sorted and written by many tasks, each a file of one run of the order.
+    """
+    rows.repartitionByRange(*parts, *order).sortWithinPartitions(*parts, *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
 def incremental_days(last: DataFrame, now: str) -> DataFrame:
