@@ -21,7 +21,8 @@ as equal fingerprints are one class before.
 Fingerprints with no possible partner are set aside first: within 3 bits, one
 32-bit half differs in one bit at most. That needs 1 key for a half of even
 parity and 33 for one of odd parity. It only saves work: what meets another by
-chance is let go by a second split, into bits by turns.
+chance is let go by two splits, into bits by turns and by place. The larger
+ball is emitted only for the sides where an even one is near.
 
 Defined results: null and empty texts have fingerprint zero and link like any
 other; rows with equal ids keep their own fingerprints; the id of a component
@@ -53,9 +54,10 @@ def _signed(bits: int) -> int:
 
 
 NEAR = [0, *(_signed(1 << i) for i in range(64))]
-FAR = [_signed(1 << i | 1 << j) for half in (0, 32) for i in range(half, half + 32) for j in range(half, i)]
-#: Halves of the word, by place and by turns.
-SPLITS = (0xFFFFFFFF, 0x5555555555555555)
+#: Both flips in the lower half, and in the upper half.
+FAR = [[_signed(1 << i | 1 << j) for i in range(half, half + 32) for j in range(half, i)] for half in (0, 32)]
+#: Halves of the word, by turns and by place.
+SPLITS = (0x5555555555555555, 0xFFFFFFFF)
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -94,7 +96,7 @@ def _masks(values: list[int], kind: str = "long"):
 
 
 def _with_partner(prints: DataFrame, mask: int) -> DataFrame:
-    """The fingerprints of which the half of bits in ``mask``, or the other half, is within one bit of another's."""
+    """The fingerprints of which the half of bits in ``mask``, or the other half, is within one bit of another's; ``even0`` and ``even1`` tell whether of one of even parity."""
     each = []
     for side, bits in enumerate((mask, ~mask)):
         flips = [0, *(_signed(1 << i) for i in range(64) if bits >> i & 1)]
@@ -102,18 +104,32 @@ def _with_partner(prints: DataFrame, mask: int) -> DataFrame:
         flip = F.when(F.bit_count(half) % 2 == 1, _masks(flips)).otherwise(_masks([0]))
         each.append(prints.select("fp", F.lit(side).alias("side"), half.alias("half"), F.explode(flip).alias("flip")))
     keys = each[0].unionByName(each[1]).select("fp", "side", F.col("half").bitwiseXOR(F.col("flip")).alias("key"))
-    several = keys.withColumn("n", F.count("*").over(Window.partitionBy("side", "key"))).where("n > 1")
-    return several.select("fp").distinct()
+    of_key = Window.partitionBy("side", "key")
+    several = keys.withColumn("n", F.count("*").over(of_key)).withColumn("even", F.max(F.bit_count("fp") % 2 == 0).over(of_key)).where("n > 1")
+    return several.groupBy("fp").agg(*[F.max((F.col("side") == side) & F.col("even")).alias(f"even{side}") for side in (0, 1)])
 
 
-def fingerprint_links(prints: DataFrame) -> DataFrame:
-    """Verified links (u, v) that connect all distinct ``fp`` within the radius."""
-    some = prints
+def _variants(prints: DataFrame) -> DataFrame:
+    """Variants (``fp, near, variant``) that make all distinct ``fp`` within the radius meet.
+
+    Two at distance 3 are of different parity. The odd one flips two bits only
+    in the half other than one that it has in common, but for a bit, with an
+    even one.
+    """
+    some = prints.withColumn("may", F.lit(True))
     for mask in SPLITS:
-        some = keep(_with_partner(some, mask), "partnered")
+        last = some.select("fp", "may").join(_with_partner(some.select("fp"), mask), "fp")
+        some = keep(last.select("fp", "even0", "even1", (F.col("may") & (F.col("even0") | F.col("even1"))).alias("may")), "partnered")
     near = some.select("fp", F.lit(True).alias("near"), F.explode(_masks(NEAR)).alias("flip"))
-    far = some.where(F.bit_count("fp") % 2 == 1).select("fp", F.lit(False).alias("near"), F.explode(_masks(FAR)).alias("flip"))
-    variants = near.unionByName(far).select("fp", "near", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
+    lower, upper = FAR
+    flips = F.when(F.col("even0") & F.col("even1"), _masks(lower + upper)).when(F.col("even0"), _masks(upper)).otherwise(_masks(lower))
+    far = some.where("may").where(F.bit_count("fp") % 2 == 1).select("fp", F.lit(False).alias("near"), F.explode(flips).alias("flip"))
+    return near.unionByName(far).select("fp", "near", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
+
+
+def fingerprint_links(prints: DataFrame) -> DataFrame:
+    """Verified links (u, v) that connect all distinct ``fp`` within the radius."""
+    variants = _variants(prints)
     met = variants.withColumn("centre", F.min(F.when(F.col("near"), F.col("fp"))).over(Window.partitionBy("variant")))
     pairs = met.where("centre is not null and centre <> fp").select(F.col("fp").alias("u"), F.col("centre").alias("v")).distinct()
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)
